@@ -144,12 +144,47 @@ def near_pairs(prints: DataFrame, distance: int = 4, block: int = 20_000) -> Dat
     return _linked(dealt, distance, 8 - distance)
 
 
+def _classes(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of ``rows``."""
+    distinct = staged(rows.select("fp").distinct(), "simhash-distinct")
+    roots = components(near_pairs(distinct, distance))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, distance: int = 4) -> DataFrame:
     """Per row: ``key``, fp (signed long) and component_id, the smallest key of its class."""
     rows = staged(fingerprints(docs, text, key, words), "simhash")
-    distinct = staged(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
-    roots = components(near_pairs(distinct.select("fp"), distance))
-    classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    classes = staged(_classes(rows, distance).join(lows, "fp"), "simhash-classes")
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = classes.join(lows, "root").select(F.col("fp").alias("__fp"), "component_id")
     return rows.join(classes, F.col("fp") == F.col("__fp")).select(F.col("id").alias(key), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, distance: int = 4) -> DataFrame:
+    """``docs`` with one row of each class: the smallest non-null key, then the smallest hash of the text.
+
+    The rows to drop are few beside the table, so they are what is joined; texts move only if Spark finds the drop
+    list too large to broadcast.
+    """
+    hashed = docs.withColumn("__hash", F.xxhash64(text))
+    kind = dict(docs.dtypes)[key]
+
+    def run(slices):
+        for rows in slices:
+            found = [fingerprint(t, words) for t in rows["text"]]
+            yield {"id": rows["id"], "hash": rows["hash"], "fp": [f - (1 << 64) if f >> 63 else f for f in found]}
+
+    base = hashed.select(F.col(key).alias("id"), F.col("__hash").alias("hash"), F.col(text).alias("text"))
+    rows = staged(arrow_map(base, run, f"id {kind}, hash bigint, fp bigint", 64), "simhash")
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    tops = rows.groupBy("fp").agg(F.min(name).alias("top"))
+    classes = staged(_classes(rows, distance).join(tops, "fp"), "simhash-classes")
+    stay = classes.groupBy("root").agg(F.min("top").alias("stay"))
+    classes = classes.join(stay, "root").select(F.col("fp").alias("__fp"), "stay")
+    gone = rows.join(classes, F.col("fp") == F.col("__fp")).where(~F.struct("id", "hash").eqNullSafe(F.struct("stay.id", "stay.hash")))
+    gone = staged(gone.select(F.col("id").alias("__id"), F.col("hash").alias("__gone")).distinct(), "simhash-gone")
+    kept = hashed.join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__gone")), "left_anti").drop("__hash")
+    if not rows.groupBy("id", "hash").count().where("count > 1").isEmpty():  # whole rows repeat
+        kept = kept.dropDuplicates([key, text])
+    return kept
