@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` uses it inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def normalise(text: Column, lowercase: bool = True) -> Column:
     """Runs of white space to one space, optionally lower-cased; not trimmed."""
     return F.regexp_replace(F.lower(text) if lowercase else text, SPACE + "+", " ")
@@ -52,9 +59,13 @@ def sentence_pieces(parts: Column) -> Column:
 
 def char_shingles(text: Column, k: int = 5) -> Column:
     """Distinct runs of k characters; empty for shorter texts. Characters are cut once, not by position."""
-    chars = F.split(text, "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(chars) - k + 1), lambda i: F.array_join(F.slice(chars, i, k), ""))
-    return F.when(F.size(chars) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def runs(chars: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(chars) - k + 1), lambda i: F.array_join(F.slice(chars, i, k), ""))
+        return F.when(F.size(chars) >= k, F.array_distinct(every)).otherwise(none)
+
+    return let(F.split(text, ""), runs)
 
 
 def replaced_words(text: Column, key: Column, share: float) -> Column:
@@ -70,11 +81,14 @@ def replaced_words(text: Column, key: Column, share: float) -> Column:
 
 def blocks(ids: Column, first: int, last: int, size: int = 510) -> Column:
     """Ids in runs of ``size``, each between the two special ids; no run without ids."""
-    count = F.ceil(F.size(ids) / size).cast("int")
-    runs = F.transform(
-        F.sequence(F.lit(0), count - 1), lambda b: F.concat(F.array(F.lit(first)), F.slice(ids, b * size + 1, size), F.array(F.lit(last)))
-    )
-    return F.when(F.size(ids) > 0, runs).otherwise(F.array().cast("array<array<int>>"))
+    none = F.array().cast("array<array<int>>")
+
+    def runs(own: Column) -> Column:
+        last_block = F.ceil(F.size(own) / size).cast("int") - 1
+        cut = lambda b: F.concat(F.array(F.lit(first)), F.slice(own, b * size + 1, size), F.array(F.lit(last)))
+        return F.when(F.size(own) > 0, F.transform(F.sequence(F.lit(0), last_block), cut)).otherwise(none)
+
+    return let(ids, runs)
 
 
 def tokens(text: Column) -> Column:

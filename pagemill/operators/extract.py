@@ -76,21 +76,25 @@ def lemmas(rules: list[str]) -> list[list[str]]:
     return [rule.split() for rule in rules]
 
 
-def _starts_with_section(tokens: DataFrame, rules: list[str], key: str) -> DataFrame:
-    """(key, hit, from_pos, to_pos): matches with the section that holds their start; matches in none are left out."""
-    found = pats.pack_matches(tokens, lemmas(rules), key=key).select(key, F.col("start").alias("hit"))
+def _with_section(found: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
+    """(key, pattern_id, hit, from_pos, to_pos): matches with the section that holds their start, if there is one."""
     held = with_sections(tokens, key).where(F.col("sec_start").isNotNull())
     held = held.select(key, F.col("pos").alias("hit"), F.col("sec_start").alias("from_pos"), F.col("sec_end").alias("to_pos"))
-    return found.join(held, [key, "hit"])
+    return found.select(key, "pattern_id", F.col("start").alias("hit")).join(held, [key, "hit"])
 
 
-def controller(tokens: DataFrame, entities: DataFrame, rules: list[str] = CONTROLLER, key: str = "doc_id") -> DataFrame:
+def _found(tokens: DataFrame, rules: list[str], key: str, found: DataFrame | None) -> DataFrame:
+    """Matches of a pack, unless they come with the call."""
+    return pats.pack_matches(tokens, lemmas(rules), key=key) if found is None else found
+
+
+def controller(tokens: DataFrame, entities: DataFrame, rules: list[str] = CONTROLLER, key: str = "doc_id", found: DataFrame | None = None) -> DataFrame:
     """(key, company, company_start, address, address_start): one row a document that names a company.
 
     Of the hits in order, the first whose section has a company with an address decides; if none has, the first
     company. The company is the one nearest to the section's start, the address the one nearest to the company.
     """
-    hits = _starts_with_section(tokens, rules, key).distinct()
+    hits = _with_section(_found(tokens, rules, key, found), tokens, key).drop("pattern_id").distinct()
     party = ents.closest(ents.in_ranges(entities, hits, PARTY_TYPES, NO_PARTY, key), "from_pos", [key, "hit"])
     party = party.select(key, "hit", "from_pos", "to_pos", F.col("text").alias("company"), F.col("start").alias("company_start"), F.expr("(start + end) div 2").alias("middle"))
     near = ents.closest(ents.in_ranges(entities, party, ADDRESS_TYPES, key=key), "middle", [key, "hit"])
@@ -100,33 +104,30 @@ def controller(tokens: DataFrame, entities: DataFrame, rules: list[str] = CONTRO
     return picked.select(key, "company", "company_start", "address", "address_start")
 
 
-def third_parties(tokens: DataFrame, entities: DataFrame, rules: list[str] = THIRD_PARTIES, key: str = "doc_id") -> DataFrame:
+def third_parties(tokens: DataFrame, entities: DataFrame, rules: list[str] = THIRD_PARTIES, key: str = "doc_id", found: DataFrame | None = None) -> DataFrame:
     """(key, ord, text, start): parties of the hits' sections, each text once.
 
     Hits come rule by rule; a text has the place of its last mention and the span of its first.
     """
-    found = pats.pack_matches(tokens, lemmas(rules), key=key).select(key, "pattern_id", F.col("start").alias("hit"))
-    held = with_sections(tokens, key).where(F.col("sec_start").isNotNull())
-    held = held.select(key, F.col("pos").alias("hit"), F.col("sec_start").alias("from_pos"), F.col("sec_end").alias("to_pos"))
-    rows = ents.in_ranges(entities, found.join(held, [key, "hit"]), PARTY_TYPES, NO_PARTY, key)
+    hits = _with_section(_found(tokens, rules, key, found), tokens, key)
+    rows = ents.in_ranges(entities, hits, PARTY_TYPES, NO_PARTY, key)
     place = F.struct("pattern_id", "hit", "start", "ent_type", "ne_id")
     rows = rows.groupBy(key, "text").agg(F.max(place).alias("last"), F.min_by("start", place).alias("start"))
     order = Window.partitionBy(key).orderBy("last")
     return rows.select(key, (F.row_number().over(order) - 1).alias("ord"), "text", "start")
 
 
-def rule_sentences(tokens: DataFrame, rules: list[str], key: str = "doc_id") -> DataFrame:
+def rule_sentences(tokens: DataFrame, rules: list[str], key: str = "doc_id", found: DataFrame | None = None) -> DataFrame:
     """Sentences that hold the start or end of a match."""
-    return whole_sentences(tokens, pats.hits(pats.pack_matches(tokens, lemmas(rules), key=key), key), key)
+    return whole_sentences(tokens, pats.hits(_found(tokens, rules, key, found), key), key)
 
 
 def categories(tokens: DataFrame, starts: list[str] = CATEGORY_STARTS, named: dict[str, str] = CATEGORIES, key: str = "doc_id") -> DataFrame:
     """(key, category, sent_id, first, last, text) of the sentences that mention a category after a start."""
-    found = None
-    for name, suffix in named.items():
-        part = pats.pack_matches(tokens, [f"{s} {suffix}".split() for s in starts], "sentence", key)
-        part = pats.hits(part, key).withColumn("category", F.lit(name)).distinct()
-        found = part if found is None else found.unionByName(part)
+    rules = [f"{start} {suffix}".split() for suffix in named.values() for start in starts]
+    names = F.array(*[F.lit(name) for name in named for _ in starts])
+    found = pats.pack_matches(tokens, rules, "sentence", key).withColumn("category", F.get(names, F.col("pattern_id")))
+    found = found.select(key, F.explode(F.array("start", "end")).alias("pos"), "category").distinct()
     marked = tokens.join(found, [key, "pos"]).select(key, "category", "sent_id").distinct()
     texts = whole_sentences(tokens, found, key)
     return marked.join(texts, [key, "sent_id"])
@@ -137,10 +138,11 @@ def duration(tokens: DataFrame, sentences: DataFrame, unit: list[str], word: str
 
     ``sentences`` has key, sent_id, first, last.
     """
+    sentences = sentences.select(key, "sent_id", "first", "last")
     found = pats.matches(tokens, unit, key=key).join(sentences, key)
     found = found.where((F.col("start") >= F.col("first")) & (F.col("start") <= F.col("last") - len(unit)))
     spans = found.select(key, "sent_id", F.col("start").alias("a"), (F.col("end") + 1).alias("b"))
-    near = tokens.where(F.col("lemma") == word).join(sentences, key).where((F.col("pos") >= F.col("first")) & (F.col("pos") <= F.col("last") - 1))
+    near = tokens.where(F.col("lemma") == word).select(key, "pos").join(sentences, key).where((F.col("pos") >= F.col("first")) & (F.col("pos") <= F.col("last") - 1))
     near = near.groupBy(key, "sent_id").agg(F.min("pos").alias("pos")).join(spans.select(key, "sent_id").distinct(), [key, "sent_id"], "left_anti")
     near = near.select(key, "sent_id", (F.col("pos") - 5).alias("a"), (F.col("pos") + 5).alias("b"), F.lit(True).alias("plain"))
     both = spans.withColumn("plain", F.lit(False)).unionByName(near)
@@ -154,17 +156,25 @@ def duration(tokens: DataFrame, sentences: DataFrame, unit: list[str], word: str
 
 def extractions(tokens: DataFrame, entities: DataFrame, key: str = "doc_id", controller_rules=CONTROLLER, party_rules=THIRD_PARTIES, duration_rules=DURATION, access_rules=ACCESS, delete_rules=DELETE, deadline_rules=DEADLINE, starts=CATEGORY_STARTS, named=CATEGORIES, unit=("po", "doba", "*1", "léta"), word="doba") -> DataFrame:
     """(key, type, text): all packs as one relation."""
-    pick = controller(tokens, entities, controller_rules, key)
+    packs = [controller_rules, party_rules, duration_rules, access_rules, delete_rules, deadline_rules]
+    # One chain of joins for all strict packs; each pack reads its own range of pattern numbers.
+    every = pats.pack_matches(tokens, [r for pack in packs for r in lemmas(pack)], key=key).persist()
+    own, low = [], 0
+    for pack in packs:
+        part = every.where(F.col("pattern_id").between(low, low + len(pack) - 1))
+        own.append(part.withColumn("pattern_id", F.col("pattern_id") - low))
+        low += len(pack)
+    pick = controller(tokens, entities, controller_rules, key, own[0])
     one = lambda df, kind, text="text": df.select(key, F.lit(kind).alias("type"), F.col(text).alias("text"))
-    long = rule_sentences(tokens, duration_rules, key)
+    long = rule_sentences(tokens, duration_rules, key, own[2])
     parts = [
         one(pick, "company", "company"),
         one(pick.where("address IS NOT NULL"), "address", "address"),
-        one(third_parties(tokens, entities, party_rules, key), "third_companies"),
+        one(third_parties(tokens, entities, party_rules, key, own[1]), "third_companies"),
         one(duration(tokens, long, list(unit), word, key), "duration"),
-        one(rule_sentences(tokens, access_rules, key), "access"),
-        one(rule_sentences(tokens, delete_rules, key), "delete"),
-        one(rule_sentences(tokens, deadline_rules, key), "lhuta"),
+        one(rule_sentences(tokens, access_rules, key, own[3]), "access"),
+        one(rule_sentences(tokens, delete_rules, key, own[4]), "delete"),
+        one(rule_sentences(tokens, deadline_rules, key, own[5]), "lhuta"),
         one(categories(tokens, starts, named, key), "druh"),
     ]
     found = parts[0]

@@ -10,7 +10,7 @@ distance as residual, and a minimum. Documents bound the join; lemma filters rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Pattern = list[str]
@@ -28,44 +28,52 @@ def _steps(pattern: Pattern) -> list[tuple[int, str, bool]]:
     return steps
 
 
-def matches(tokens: DataFrame, pattern: Pattern, mode: str = "strict", key: str = "doc_id", first: int = 0) -> DataFrame:
-    """(key, start, end) of every match.
+def pack_matches(tokens: DataFrame, patterns: list[Pattern], mode: str = "strict", key: str = "doc_id") -> DataFrame:
+    """(key, pattern_id, start, end) of every match of every pattern.
 
     A match must not end on the document's last token, and must start early enough for the whole pattern, gaps
     counted as one token. ``end`` is the lemma after the last gap (0 without a gap) in strict mode, the last lemma
-    in sentence mode.
+    in sentence mode. All patterns advance together: as many joins as the longest has lemmas, however many there are.
     """
     if mode not in ("strict", "sentence"):
         raise ValueError(mode)
-    steps = _steps(pattern)
-    lemmas = sorted({lemma for _, lemma, _ in steps})
+    steps = [_steps(p) for p in patterns]
+    lemmas = sorted({lemma for own in steps for _, lemma, _ in own})
     whole = Window.partitionBy(key)
     stops = F.sum((F.col("lemma") == ".").cast("int")).over(whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     own = tokens.select(key, "pos", "lemma", F.max("pos").over(whole).alias("last"), (stops if mode == "sentence" else F.lit(0)).alias("stop"))
     own = own.where(F.col("lemma").isin(lemmas))
-    start = (F.col("lemma") == steps[0][1]) & (F.col("pos") >= first) & (F.col("pos") <= F.col("last") + 1 - len(pattern))
-    found = own.where(start).select(key, F.col("pos").alias("start"), F.col("pos").alias("at"), F.lit(0).alias("end"), "last", "stop")
-    for gap, lemma, wild in steps[1:]:
-        nxt = own.where(F.col("lemma") == lemma).select(key, F.col("pos").alias("next"), F.col("stop").alias("next_stop"))
+    firsts = F.array(*[_struct(pattern_id=i, lemma=s[0][1], size=len(p)) for i, (p, s) in enumerate(zip(patterns, steps))])
+    found = own.select("*", F.explode(F.filter(firsts, lambda f: f["lemma"] == F.col("lemma"))).alias("p"))
+    found = found.where(F.col("pos") <= F.col("last") + 1 - F.col("p.size"))
+    found = found.select(key, F.col("p.pattern_id").alias("pattern_id"), F.col("pos").alias("start"), F.col("pos").alias("at"), F.lit(0).alias("end"), "last", "stop")
+    nxt = own.select(F.col(key).alias("k"), F.col("lemma").alias("next_lemma"), F.col("pos").alias("next"), F.col("stop").alias("next_stop"))
+    for number in range(1, max(map(len, steps))):
+        wanted = F.array(*[_struct(gap=s[number][0], lemma=s[number][1], wild=s[number][2]) if number < len(s) else F.lit(None).cast("struct<gap:int,lemma:string,wild:boolean>") for s in steps])
+        rows = found.withColumn("w", F.get(wanted, F.col("pattern_id"))).select("*", F.col("w.lemma").alias("want"))
         if mode == "strict":
-            near = F.col("next").between(F.col("at") + 1, F.col("at") + 1 + gap)
+            near = F.col("next").between(F.col("at") + 1, F.col("at") + 1 + F.col("w.gap"))
         else:
             near = (F.col("next") >= F.col("at")) & (F.col("next_stop") == F.col("stop"))
-        found = found.join(nxt, key).where(near).groupBy(key, "start", "end", "last", "stop").agg(F.min("next").alias("at"))
-        if wild:
-            found = found.withColumn("end", F.col("at"))
-    if mode == "sentence":
-        found = found.withColumn("end", F.col("at"))
-    return found.where(F.col("at") < F.col("last")).select(key, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+        rows = rows.join(nxt, (F.col(key) == F.col("k")) & (F.col("want") == F.col("next_lemma")) & near, "left")
+        rows = rows.groupBy(key, "pattern_id", "start", "at", "end", "last", "stop", "want", F.col("w.wild").alias("wild")).agg(F.min("next").alias("next"))
+        rows = rows.where(F.col("want").isNull() | F.col("next").isNotNull())  # finished patterns pass through
+        at = F.coalesce("next", "at")
+        moved = F.col("wild") if mode == "strict" else F.lit(True)
+        rows = rows.withColumn("end", F.when(F.col("want").isNotNull() & moved, F.col("next")).otherwise(F.col("end")))
+        found = rows.withColumn("at", at).select(key, "pattern_id", "start", "at", "end", "last", "stop")
+    end = F.col("end") if mode == "strict" else F.col("at")
+    found = found.where(F.col("at") < F.col("last"))
+    return found.select(key, "pattern_id", F.col("start").cast("int").alias("start"), end.cast("int").alias("end"))
 
 
-def pack_matches(tokens: DataFrame, patterns: list[Pattern], mode: str = "strict", key: str = "doc_id") -> DataFrame:
-    """(key, pattern_id, start, end) of all patterns of a pack, not deduplicated."""
-    found = None
-    for number, pattern in enumerate(patterns):
-        part = matches(tokens, pattern, mode, key).withColumn("pattern_id", F.lit(number))
-        found = part if found is None else found.unionByName(part)
-    return found
+def _struct(**values) -> Column:
+    return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def matches(tokens: DataFrame, pattern: Pattern, mode: str = "strict", key: str = "doc_id", first: int = 0) -> DataFrame:
+    """(key, start, end) of every match of one pattern that starts at ``first`` or later."""
+    return pack_matches(tokens, [pattern], mode, key).where(F.col("start") >= first).drop("pattern_id")
 
 
 def hits(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import joined_tokens
+from pagemill.functions.text import joined_tokens, let
 from pagemill.runtime import ship
 
 ATTRIBUTE = "data-element-id"
@@ -22,18 +22,20 @@ def best_window(tokens: Column, wanted: Column) -> Column:
 
     The window that would end on the last token is not tried; (0, 0.0) if there is none.
     """
-    target, m = F.array_distinct(wanted), F.size(wanted)
 
-    def score(i: Column) -> Column:
-        window = F.array_distinct(F.slice(tokens, i + 1, m))
-        return F.struct((F.size(F.array_intersect(window, target)) / F.size(F.array_union(window, target))).alias("jaccard"), (-i).alias("minus"))
+    def search(pair: Column) -> Column:
+        own, target, m = pair["tokens"], F.array_distinct(pair["wanted"]), F.size(pair["wanted"])
 
-    count = F.size(tokens) - m
-    best = F.array_max(F.transform(F.sequence(F.lit(0), count - 1), score))
-    none = F.struct(F.lit(0.0).alias("jaccard"), F.lit(0).alias("minus"))
-    best = F.when((count > 0) & (m > 0), best).otherwise(none)
-    found = F.when(best["jaccard"] > 0, best).otherwise(none)
-    return F.struct((-found["minus"]).alias("at"), found["jaccard"].alias("jaccard"))
+        def score(i: Column) -> Column:
+            window = F.array_distinct(F.slice(own, i + 1, m))
+            return F.struct((F.size(F.array_intersect(window, target)) / F.size(F.array_union(window, target))).alias("jaccard"), (-i).alias("minus"))
+
+        count = F.size(own) - m
+        none = F.struct(F.lit(0.0).alias("jaccard"), F.lit(0).alias("minus"))
+        best = F.when((count > 0) & (m > 0), F.array_max(F.transform(F.sequence(F.lit(0), count - 1), score))).otherwise(none)
+        return let(best, lambda b: F.struct(F.when(b["jaccard"] > 0, -b["minus"]).otherwise(0).alias("at"), b["jaccard"].alias("jaccard")))
+
+    return let(F.struct(tokens.alias("tokens"), wanted.alias("wanted")), search)
 
 
 def located(rows: DataFrame, tokens: str = "tokens", wanted: str = "wanted") -> DataFrame:
@@ -48,16 +50,20 @@ def edge_offset(text: Column, wanted: Column, end: bool) -> Column:
 
     Not found: 0 for the start, the last position for the end.
     """
-    sizes = F.sequence(F.least(F.lit(EDGE_TOKENS), F.size(wanted)), F.lit(1))
 
-    def offset(k: Column) -> Column:
-        part = F.slice(wanted, -k, k) if end else F.slice(wanted, F.lit(1), k)
-        words = joined_tokens(part)
-        at = F.position(words, text)
-        return F.when(at > 0, at - 1 + (F.length(words) if end else F.lit(0)))
+    def search(pair: Column) -> Column:
+        own, goal = pair["text"], pair["wanted"]
+
+        def offset(k: Column) -> Column:
+            words = joined_tokens(F.slice(goal, -k, k) if end else F.slice(goal, F.lit(1), k))
+            at = F.position(words, own)
+            return F.when(at > 0, at - 1 + (F.length(words) if end else F.lit(0)))
+
+        sizes = F.sequence(F.least(F.lit(EDGE_TOKENS), F.size(goal)), F.lit(1))
+        found = F.filter(F.transform(sizes, offset), lambda x: x.isNotNull())
+        return F.coalesce(F.get(found, 0), F.length(own) - 1 if end else F.lit(0))
 
-    found = F.filter(F.transform(sizes, offset), lambda x: x.isNotNull())
-    return F.coalesce(F.get(found, 0), F.length(text) - 1 if end else F.lit(0))
+    return let(F.struct(text.alias("text"), wanted.alias("wanted")), search)
 
 
 def edge_offsets(rows: DataFrame, text: str = "text", wanted: str = "wanted") -> DataFrame:
