@@ -96,7 +96,7 @@ def policy(spark, text, names=()):
 
 
 def test_controller_and_duration(spark):
-    rows, found = policy(spark, "Firma Praha být správce váš osobní údaj po doba 3 léta . osobní údaj zpracovávat po doba 12 léta konec", [("if", "Firma"), ("A", "Praha")])
+    rows, found = policy(spark, "Firma Praha být správce váš osobní údaj po doba 3 léta . osobní údaj zpracovávat po doba 12 léta konec a b c d e f", [("if", "Firma"), ("A", "Praha")])
     got = extract.controller(rows, found).first()
     assert (got.company, got.address) == ("Firma", "Praha")
     got = extract.duration(rows, extract.rule_sentences(rows, extract.DURATION), ["po", "doba", "*1", "léta"], "doba").first()
