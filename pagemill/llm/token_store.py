@@ -28,6 +28,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,27 +52,47 @@ def merkle_root(hashes: list[bytes]) -> bytes:
     return level[0]
 
 
-def cut(ids: np.ndarray, mean: int = 256, smallest: int = 64, largest: int = 1024) -> list[int]:
-    """Ends of the chunks of an id stream; ``mean`` is a power of two."""
-    if len(ids) <= smallest:
-        return [len(ids)]
+def places(ids: np.ndarray, mean: int = 256) -> np.ndarray:
+    """Ends of id positions whose last SPAN ids allow a cut, ascending."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(32)
     rolling = np.zeros(len(ids), np.uint64)
     for back in range(SPAN):  # a window sum with a factor by distance: the same for the same last SPAN ids
         rolling[back:] += mixed[: len(ids) - back] * np.uint64(2 * back + 1)
     rolling ^= rolling >> np.uint64(29)
-    places = np.flatnonzero(rolling & np.uint64(mean - 1) == 0) + 1
-    ends, last = [], 0
-    for place in [*places.tolist(), len(ids)]:
-        while place - last > largest:
-            last += largest
-            ends.append(last)
-        if place - last >= smallest or place == len(ids):
-            if place > last:
-                ends.append(place)
-            last = place
-    return ends
+    return np.flatnonzero(rolling & np.uint64(mean - 1) == 0) + 1
+
+
+def cut_all(streams: list[np.ndarray], mean: int = 256, smallest: int = 64, largest: int = 1024) -> list[list[int]]:
+    """Ends of the chunks of each id stream; ``mean`` is a power of two.
+
+    Places are found over all streams at once. Near a stream's start they depend on the stream before, but no cut is
+    made there, as ``smallest`` exceeds the span.
+    """
+    if smallest < SPAN:
+        raise ValueError("the smallest chunk must not be shorter than the span")
+    ends = np.cumsum([len(s) for s in streams])
+    found = places(np.concatenate(streams), mean) if streams else ends
+    first = np.searchsorted(found, ends - [len(s) for s in streams], side="right").tolist()
+    stop = np.searchsorted(found, ends, side="left").tolist()
+    found, out, begin = found.tolist(), [], 0
+    for a, b, end in zip(first, stop, ends.tolist()):
+        own, last = [], begin
+        for place in [*found[a:b], end]:
+            while place - last > largest:
+                last += largest
+                own.append(last - begin)
+            if place - last >= smallest or place == end:
+                if place > last:
+                    own.append(place - begin)
+                last = place
+        out.append(own)
+        begin = end
+    return out
+
+
+def cut(ids: np.ndarray, mean: int = 256, smallest: int = 64, largest: int = 1024) -> list[int]:
+    return cut_all([ids], mean, smallest, largest)[0]
 
 
 def packed(ids: np.ndarray) -> tuple[int, bytes]:
@@ -89,9 +110,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, text: str = "te
         sent: set[bytes] = set()
         for rows in slices:
             out = []
-            for own, ids in zip(rows["key"], encode_rows(tokenizer_path, rows["text"], end_id)):
+            streams = encode_rows(tokenizer_path, rows["text"], end_id)
+            for own, ids, ends in zip(rows["key"], streams, cut_all(streams, mean)):
                 hashes, last = [], 0
-                for end in cut(ids, mean):
+                for end in ends:
                     width, data = packed(ids[last:end])
                     name = address(bytes([width]) + data)
                     hashes.append(name)
@@ -105,21 +127,19 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, text: str = "te
                     sent.clear()
             yield {n: [r[i] for r in out] for i, n in enumerate(names)}
 
-    def once(slices):
+    def once(batches):
         seen: set[bytes] = set()
-        for rows in slices:
+        for batch in batches:
             stay = []
-            for i, (kind, name) in enumerate(zip(rows["kind"], rows["hash"])):
-                if kind == "recipe" or name not in seen:
-                    stay.append(i)
-                    if kind == "chunk":
-                        seen.add(name)
-            yield {n: [rows[n][i] for i in stay] for n in names}
+            for kind, name in zip(batch.column("kind").to_pylist(), batch.column("hash").to_pylist()):
+                stay.append(kind == "recipe" or name not in seen)
+                if kind == "chunk":
+                    seen.add(name)
+            yield batch.filter(pa.array(stay, pa.bool_()))
 
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     dealt = arrow_map(base, encode, schema, slice_rows=256).repartition("hash")
-    objects = arrow_map(dealt, once, schema, slice_rows=4096)
-    objects.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    dealt.mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     _write_order(spark, path, kind_of_key)
 
 

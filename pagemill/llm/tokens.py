@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
+from itertools import islice
 
 import numpy as np
 
@@ -17,6 +20,7 @@ CACHE_WORDS = 600_000
 #: ASCII letters before a run of ASCII punctuation: the tokenizer cuts there in any case. Apostrophes are left
 #: whole, as contractions depend on what follows.
 _TAIL = re.compile(rb"([a-z\x80-\xff]*[a-z])([!-&(-/:-@\[-`{-~]+)").fullmatch
+_LETTERS = re.compile(rb"[a-z]+").fullmatch
 _workers: dict[str, "WordCache"] = {}
 
 
@@ -29,6 +33,10 @@ class WordCache:
         self.words: dict[bytes, bytes] = {}
         mark = self._plain("0")
         self.mark = int(np.frombuffer(mark, DTYPE)[0]) if len(mark) == 4 else None
+        # Words of plain lower-case letters can go to the model itself if nothing before it changes them.
+        self.by_model = sys.byteorder == "little" and array("I").itemsize == 4 and all(
+            array("I", [t.id for t in self.tokenizer.model.tokenize(w)]).tobytes() == self._plain(w) for w in ("a", "the", "tokenizers", "zqxjkvb", "s", "ll")
+        )
         # The word path needs a tokenizer that lower-cases and drops white space, and one id for the mark.
         self.by_word = self.mark is not None and all(
             self._plain("Ab, c.\n\t Aé9") == b"".join(map(self._plain, words)) for words in (["Ab,", "c.", "Aé9"], ["ab", ",", "c", ".", "aé9"])
@@ -38,13 +46,9 @@ class WordCache:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, DTYPE).tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
-            return self._learn_all(new)
-        return self._learn_all([w for w in new if w not in words])
-
-    def _learn_all(self, new: list[bytes]) -> None:
+        if len(self.words) > CACHE_WORDS:
+            # Frequent words are met, and so kept, first: the older half stays.
+            self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
         words, need, later = self.words, set(), []
         for word in new:
             if m := _TAIL(word):
@@ -52,15 +56,18 @@ class WordCache:
                 need.update(p for p in m.groups() if p not in words)
             else:
                 need.add(word)
-        plain = []
+        plain, tokenize = [], self.tokenizer.model.tokenize
         for word in need:
-            if b"0" in word:
+            if self.by_model and _LETTERS(word):
+                words[word] = array("I", [t.id for t in tokenize(word.decode())]).tobytes()
+            elif b"0" in word:
                 words[word] = self._plain(word.decode())
             else:
                 plain.append(word)
-        for at in range(0, len(plain), 500):
-            part = plain[at : at + 500]
-            ids = np.array(self.tokenizer.encode(" 0 ".join([w.decode() for w in part]), add_special_tokens=False).ids, DTYPE)
+        parts = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        joined = self.tokenizer.encode_batch_fast([" 0 ".join([w.decode() for w in part]) for part in parts], add_special_tokens=False)
+        for part, encoding in zip(parts, joined):
+            ids = np.array(encoding.ids, DTYPE)
             cuts = np.flatnonzero(ids == self.mark)
             data = ids.tobytes()
             for word, a, b in zip(part, [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(data)], strict=True):
@@ -71,8 +78,9 @@ class WordCache:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         out: list[bytes] = [b""] * len(texts)
-        split: list[tuple[int, list[bytes]]] = []
+        waiting: list[tuple[int, list[bytes], list[bytes | None], list[int]]] = []
         new: set[bytes] = set()
+        get = self.words.get
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -80,12 +88,19 @@ class WordCache:
                 out[i] = self._plain(text)
                 continue
             words = text.encode("utf-8").lower().split()
-            new.update(words)
-            split.append((i, words))
+            found = list(map(get, words))
+            if None in found:
+                missing = [at for at, ids in enumerate(found) if ids is None]
+                new.update(words[at] for at in missing)
+                waiting.append((i, words, found, missing))
+            else:
+                out[i] = b"".join(found)
         self._learn(list(new))
-        get = self.words.__getitem__
-        for i, words in split:
-            out[i] = b"".join(map(get, words))
+        known = self.words
+        for i, words, found, missing in waiting:
+            for at in missing:
+                found[at] = known[words[at]]
+            out[i] = b"".join(found)
         return out
 
 
