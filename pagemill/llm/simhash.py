@@ -161,7 +161,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     return rows.join(classes, F.col("fp") == F.col("__fp")).select(F.col("id").alias(key), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, distance: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, distance: int = 4) -> DataFrame:
     """``docs`` with one row of each class: the smallest non-null key, then the smallest hash of the text.
 
     The rows to drop are few beside the table, so they are what is joined; texts move only if Spark finds the drop

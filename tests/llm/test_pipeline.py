@@ -41,7 +41,7 @@ def test_pipeline(spark, tmp_path):
 
     docs = [(r[0], r[1]) for r in rows if r[1] and any(c.isalpha() for c in r[1])]
     docs = [(i, t) for i, _, t in plain_lines(docs)]
-    prints = {i: simhash.fingerprint(t, 5) for i, t in docs}
+    prints = {i: simhash.fingerprint(t, 4) for i, t in docs}
     first = {}
     for group in plain_classes(sorted(set(prints.values()))):
         keep = min(i for i, p in prints.items() if p in set(group))
