@@ -137,9 +137,27 @@ def drop_repeats(
     runs = LineRuns(docs.sparkSession, fanout)
     for batch in range(batches):
         runs.add(lines.where(F.col("batch") == batch).drop("batch"))
-    common = runs.merged().where(F.col("n") >= min_docs).select(F.col("key").alias("held"), "top")
-    drops = lines.join(common, (F.col("key") == F.col("held")) & ~F.col("id").eqNullSafe(F.col("top")), "left_semi")
-    return _without(docs, drops.select("id", "key"), text, key, min_length)
+    common = staged(runs.merged().where(F.col("n") >= min_docs).select(F.col("key").alias("held"), "top", "n"), "lines-common")
+    return _without(docs, _others(lines.select("id", "key"), common), text, key, min_length)
+
+
+#: A line held by more documents than this is hot; so many hot lines may be broadcast (some 100 bytes each).
+HOT_LINE, MOST_HOT_LINES = 1_000, 100_000
+
+
+def _others(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """Rows (id, key) of ``lines`` whose line ``common`` (held, top, n) leaves to another id.
+
+    Hot lines would gather in one task each, so they are broadcast where their number allows it; there are fewer of
+    them than rows by the factor ``HOT_LINE``. Beyond that number Spark's skew join has to split them.
+    """
+    other = (F.col("key") == F.col("held")) & ~F.col("id").eqNullSafe(F.col("top"))
+    hot = common.where(F.col("n") > HOT_LINE)
+    if not 0 < hot.count() <= MOST_HOT_LINES:
+        return lines.join(common, other, "left_semi")
+    hot = F.broadcast(hot)
+    cold = lines.join(hot, F.col("key") == F.col("held"), "left_anti").join(common.where(F.col("n") <= HOT_LINE), other, "left_semi")
+    return cold.unionByName(lines.join(hot, other, "left_semi"))
 
 
 def dedup_batch(runs: LineRuns, docs: DataFrame, text: str = "text", key: str = "doc_id", min_length: int = 20) -> DataFrame:
