@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.runtime import ship
 
-ASCII_SPACE = " \t\n\x0b\x0c\r"
+BATCH_ROWS = 1000
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -46,10 +46,16 @@ def arrow_map(
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    # Texts are large: Spark's default of 10,000 rows a batch would hold too much beside the heap.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
+
         def slices():
             for batch in batches:
                 for at in range(0, batch.num_rows, slice_rows):

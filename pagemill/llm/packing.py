@@ -151,7 +151,7 @@ def pack(
         return merge
 
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    done, level = staged(arrow_map(base, first, schema, slice_rows=256), "packed"), 0
+    done, level = staged(arrow_map(base, first, schema, slice_rows=64), "packed"), 0
     parts = done.where("open").agg(F.max("part")).first()[0]
     rest = done.where("open")
     done = done.where("not open")

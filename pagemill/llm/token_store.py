@@ -138,7 +138,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, text: str = "te
             yield batch.filter(pa.array(stay, pa.bool_()))
 
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    dealt = arrow_map(base, encode, schema, slice_rows=256).repartition("hash")
+    dealt = arrow_map(base, encode, schema, slice_rows=64).repartition("hash")
     dealt.mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     _write_order(spark, path, kind_of_key)
 
