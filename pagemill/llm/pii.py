@@ -13,8 +13,8 @@ Positions without Python: the text is split at the matches, and lengths of piece
 
 Defined results: null text counts as empty; repeated rows each get their spans; a null ``doc_id`` is a value like
 any other; extra columns are ignored. Context looks ``LEFT`` characters back and ``RIGHT`` ahead; that bounds the
-context, not the text that is searched. Memory for one text grows with its square number of matches of one kind
-only in references, some 10,000 of them are harmless.
+context, not the text that is searched. Time and memory for a text are linear in its length; offsets of n matches take
+n * BLOCK / 2 additions.
 """
 
 from __future__ import annotations
@@ -39,32 +39,54 @@ SHAPES = {
 #: Tokens that may be identifiers: bounded by white space, with a digit or an at sign.
 CANDIDATE = r"(?<!\S)(?=[^\s0-9@]{0,79}+[0-9@])\S{6,80}+(?!\S)"
 LEFT, RIGHT = 80, 60
+#: Matches whose lengths are summed in one go; see located().
+BLOCK = 128
 
 
 def located(text: Column, pattern: str) -> Column:
     """Matches as array of struct(start, end, value, before, after); offsets in code points, end exclusive."""
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.arrays_zip(
-        matches.alias("value"),
-        F.slice(pieces, F.lit(1), F.size(matches)).alias("left"),
-        F.slice(pieces, F.lit(2), F.size(matches)).alias("right"),
-    )
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
-
-    def add(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["left"])
-        end = start + F.length(row["value"])
-        span = F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            row["value"].alias("value"),
-            F.substring(row["left"], -LEFT, LEFT).alias("before"),
-            F.substring(row["right"], 1, RIGHT).alias("after"),
-        )
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+    empty = F.array().cast(kind)
+    total = lambda lengths: F.aggregate(lengths, F.lit(0), lambda acc, n: acc + n)
+
+    def spans(matches: Column) -> Column:
+        n = F.size(matches)
+        blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+
+        def of_pieces(pieces: Column) -> Column:
+            rows = F.arrays_zip(matches.alias("value"), F.slice(pieces, F.lit(1), n).alias("left"), F.slice(pieces, F.lit(2), n).alias("right"))
+            rows = rows.cast("array<struct<value:string,left:string,right:string>>")
+
+            # Running sums in two levels: within a block, and over the blocks before.
+            def of_lengths(lengths: Column) -> Column:
+                def of_sums(sums: Column) -> Column:
+                    def span(row: Column, i: Column) -> Column:
+                        block = F.floor(i / BLOCK).cast("int")
+                        at = F.get(sums, block) + total(F.slice(lengths, block * BLOCK + 1, i % BLOCK)) + F.length(row["left"])
+                        return F.struct(
+                            at.alias("start"),
+                            (at + F.length(row["value"])).alias("end"),
+                            row["value"].alias("value"),
+                            F.substring(row["left"], -LEFT, LEFT).alias("before"),
+                            F.substring(row["right"], 1, RIGHT).alias("after"),
+                        )
+
+                    return F.transform(rows, span)
+
+                each = F.transform(blocks, lambda b: total(F.slice(lengths, b * BLOCK + 1, BLOCK)))
+                return _let(_let(each, lambda e: F.transform(blocks, lambda b: total(F.slice(e, F.lit(1), b)))), of_sums)
+
+            return _let(F.transform(rows, lambda r: F.length(r["left"]) + F.length(r["value"])), of_lengths)
+
+        return F.when(n > 0, _let(F.split(text, pattern, -1), of_pieces)).otherwise(empty)
+
+    # Matched once; only texts with a match are split too.
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.when(F.size(matches) > 0, F.aggregate(rows, start, add, lambda acc: acc["spans"])).otherwise(empty)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def digits(value: Column) -> Column:
@@ -138,7 +160,12 @@ def _spans(text: Column) -> tuple[Column, Column]:
     base, seen = [], []
     for rank, kind in enumerate(KINDS):
         # A cheap test first: most texts have none of a kind.
-        may = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, F.lit(True))
+        may = {
+            "email": F.contains(text, F.lit("@")),
+            "ip": text.rlike(r"[0-9]\.[0-9]"),
+            "card": text.rlike(r"[0-9][\x20-]?[0-9]"),
+            "phone": F.contains(text, F.lit("+")),
+        }[kind]
         valid, seed, bounds = _of_kind(_valid, kind), _occurrences(rank, True), _bounds(rank)
         found = F.filter(located(F.when(may, text).otherwise(""), SHAPES[kind]), valid)
         seen.append(F.transform(found, seed))
@@ -146,8 +173,8 @@ def _spans(text: Column) -> tuple[Column, Column]:
     return F.concat(*base), F.concat(*seen)
 
 
-def _candidates(text: Column, base: Column) -> Column:
-    """Occurrences of identifier-like tokens that no base span touches, one for each kind that they fit."""
+def _candidates(text: Column) -> Column:
+    """Occurrences of identifier-like tokens that are no base span themselves, one for each kind that they fit."""
 
     def bare(span: Column) -> Column:
         lead = F.length(F.regexp_extract(span["value"], r"^[\"'<\[{,;:]*", 0))
@@ -157,8 +184,11 @@ def _candidates(text: Column, base: Column) -> Column:
             start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), span["before"].alias("before"), span["after"].alias("after")
         )
 
-    tokens = F.transform(located(text, CANDIDATE), bare)
-    free = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    tokens = F.transform(located(F.when(text.rlike("[0-9@]"), text).otherwise(""), CANDIDATE), bare)
+    shaped = lambda k, v: v.rlike(SHAPES[k])
+    card = lambda v: v.rlike(r"^[0-9 -]{13,}$") & F.length(digits(v)).between(13, 19) & luhn(digits(v))
+    ip = lambda v: v.rlike(r"^[0-9.]{7,}$") & _valid("ip", v)
+    free = F.filter(tokens, lambda t: ~(shaped("email", t["value"]) | ip(t["value"]) | card(t["value"])))
     each = [F.transform(F.filter(free, _of_kind(_fits, kind)), _occurrences(rank, False)) for rank, kind in enumerate(KINDS)]
     return F.concat(*each)
 
@@ -185,7 +215,7 @@ def find_personal_data(
     own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base, seeds = _spans(F.col("text"))
     own = own.select("key", F.xxhash64("text").alias("hash"), "text", base.alias("base"), seeds.alias("seeds"))
-    own = own.select("key", "hash", "base", F.concat("seeds", _candidates(F.col("text"), F.col("base"))).alias("seen"))
+    own = own.select("key", "hash", "base", F.concat("seeds", _candidates(F.col("text"))).alias("seen"))
     own = staged(own, "pii")
     seen = own.select("key", "hash", F.explode("seen").alias("o")).select("key", "hash", "o.*")
     edges = seen.select("kind", F.explode("patterns").alias("pattern"), "value", "seed")
@@ -197,7 +227,9 @@ def find_personal_data(
     hits = hits.groupBy(F.col("key").alias("k"), F.col("hash").alias("h")).agg(F.collect_set(F.struct("kind", "start", "end")).alias("found"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     joined = own.select("key", "hash", "base").join(hits, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left")
-    return joined.select(F.col("key").alias(key), "base", F.array_sort(F.coalesce("found", none)).alias("found"))
+    touches = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    found = F.filter(F.coalesce("found", none), lambda s: ~touches(s))
+    return joined.select(F.col("key").alias(key), "base", F.array_sort(found).alias("found"))
 
 
 def spans_text(spans: Column) -> Column:
