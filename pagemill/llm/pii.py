@@ -1,7 +1,7 @@
 """Personal data: fixed shapes plus bootstrapped contextual extraction. DataFrame expressions only.
 
 Base spans come from four fixed patterns. They seed a pattern-instance graph: every seed, and every token that
-looks like an identifier but fits no fixed pattern, is an instance; the words around it are its lexical patterns
+looks like an identifier but fits no fixed pattern, is an instance (so is a number written in groups); the words around it are its lexical patterns
 (word before and word after; the two words before). In each round a pattern's score is the mean score of its
 distinct instances, discounted when few distinct seeds support it, and an instance's score combines its patterns
 by noisy-or. Instances that end above ``accept`` in a pattern above ``trust`` become further spans of the
@@ -38,6 +38,8 @@ SHAPES = {
 }
 #: Tokens that may be identifiers: bounded by white space, with a digit or an at sign.
 CANDIDATE = r"(?<!\S)(?=[^\s0-9@]{0,79}+[0-9@])\S{6,80}+(?!\S)"
+#: Maximal runs of digits with blanks and ().-/ between: numbers written in groups. Never fails once it has a digit.
+GROUPED = r"(?<![^\s\"'<\[{,;:])\(?[0-9](?:[().\x20/-]{0,3}+[0-9])++"
 LEFT, RIGHT = 80, 60
 #: Matches whose lengths are summed in one go; see located().
 BLOCK = 128
@@ -185,6 +187,11 @@ def _candidates(text: Column) -> Column:
         )
 
     tokens = F.transform(located(F.when(text.rlike("[0-9@]"), text).otherwise(""), CANDIDATE), bare)
+    groups = located(F.when(text.rlike(r"[0-9][().\x20/-]{0,2}\x20[().\x20/-]{0,2}[0-9]"), text).otherwise(""), GROUPED)
+    whole = lambda g: F.contains(g["value"], F.lit(" ")) & ~g["after"].rlike(r"^[\w@]")
+    # The word after starts behind the punctuation that ends the run, as it does for a token.
+    ended = lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), g["value"].alias("value"), g["before"].alias("before"), F.regexp_replace(g["after"], r"^[\"'>\]},;:.!?]+", "").alias("after"))
+    tokens = F.concat(tokens, F.transform(F.filter(groups, whole), ended))
     shaped = lambda k, v: v.rlike(SHAPES[k])
     card = lambda v: v.rlike(r"^[0-9 -]{13,}$") & F.length(digits(v)).between(13, 19) & luhn(digits(v))
     ip = lambda v: v.rlike(r"^[0-9.]{7,}$") & _valid("ip", v)

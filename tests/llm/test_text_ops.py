@@ -88,6 +88,14 @@ def test_contexts_discover_further_spans(spark):
     assert got == [(6, ["415-555-0177"])]
 
 
+def test_contexts_discover_numbers_with_blanks(spark):
+    numbers = ["030 555 0177", "(415) 555-0178", "0171 / 555 01 79"]
+    texts = [f"please call me at +1 (415) 555-0{i}23 any time" for i in range(100, 106)] + [f"please call me at {n} any time" for n in numbers] + ["order 030 555 0199 was sent"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(texts[r.doc_id][s.start : s.end] for r in pii.find_personal_data(rows).collect() for s in r.found)
+    assert got == sorted(numbers)
+
+
 def test_personal_data_repeated_rows_and_empty_table(spark):
     rows = spark.createDataFrame([(1, "a@b.co"), (1, "a@b.co"), (None, "a@b.co")], "doc_id long, text string")
     assert pii.find_personal_data(rows).count() == 3
