@@ -50,6 +50,8 @@ HINTS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 KEEP = frozenset(["html", "body", "article", "main"])
+#: Their id is an anchor made from their own words.
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -60,31 +62,35 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 HINT_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _cut_off(tag: str, attributes: str) -> bool:
-    """Whether an element is page furniture by its name, role, state, or the words of its class and id."""
+def _cut_off(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is page furniture by its name, role or state, and whether words of its class or id hint at it."""
     if tag in FURNITURE:
-        return True
+        return True, False
     if not attributes or tag in KEEP:
-        return False
+        return False, False
+    hinted = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            if any(w.lower() in HINTS for w in HINT_WORD.findall(value)):
-                return True
+            words = [w.lower() in HINTS for w in HINT_WORD.findall(value)]
+            if name == "id" and tag in TITLED:
+                continue
+            # A section of an article has the words of its heading as its id.
+            hinted = hinted or (all(words) and bool(words) if name == "id" and tag == "section" and inside else any(words))
         elif name == "role" and value.strip().lower() in ROLES:
-            return True
+            return True, False
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, False
+    return False, hinted
 
 
 class _Page:
     """Flat DOM: parallel lists by node, and text segments (block number, node, text) in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.cut = ["html"], [-1], [False]
+        self.tag, self.parent, self.cut, self.hinted = ["html"], [-1], [False], [False]
         self.segments: list[tuple[int, int, str]] = []
         self._stack, self._open, self._block = [0], {"html": 1}, 0
         self._read(source)
@@ -128,7 +134,9 @@ class _Page:
             return
         self.tag.append(tag)
         self.parent.append(self._stack[-1])
-        self.cut.append(_cut_off(tag, attributes))
+        cut, hinted = _cut_off(tag, attributes, bool(self._open.get("article") or self._open.get("main")))
+        self.cut.append(cut)
+        self.hinted.append(hinted)
         self._stack.append(len(self.tag) - 1)
         self._open[tag] = self._open.get(tag, 0) + 1
 
@@ -201,6 +209,19 @@ def main_text(source: str | None) -> str:
     dead = page.cut[:]
     for i in range(1, n):
         dead[i] = dead[i] or dead[page.parent[i]]
+    # Hinted elements go, unless one wraps the page's largest article or main, or most of its text outside any article.
+    hinted = [i for i in range(n) if page.hinted[i] and not dead[i]]
+    if hinted:
+        chars, ends = _densities(page, dead)[2], list(range(1, n + 1))
+        for i in range(n - 1, 0, -1):
+            ends[page.parent[i]] = max(ends[page.parent[i]], ends[i])
+        whole = max((i for i in range(n) if page.tag[i] in ("article", "main") and not dead[i] and chars[i]), key=lambda i: (chars[i], -i), default=None)
+        for i in hinted:
+            most = 2 * chars[i] >= chars[0] and (whole is None or page.tag[whole] == "main" and whole < i < ends[whole])
+            if not most and (whole is None or not i < whole < ends[i]):
+                dead[i] = True
+        for i in range(1, n):
+            dead[i] = dead[i] or dead[page.parent[i]]
     # Forms go, unless one wraps most of the page's text, as some publishing systems do.
     forms = [i for i in range(n) if page.tag[i] == "form" and not dead[i]]
     if forms:

@@ -31,6 +31,18 @@ def test_main_text_without_article():
     assert "link" not in text and text.count("Paragraph") == 5
 
 
+@pytest.mark.parametrize("before,after", [('<div class="content-sidebar-wrap">', "</div>"), ('<div class="has-sidebar">', '</div><div class="related"><article>Teaser</article></div>')])
+def test_hinted_wrapper_of_the_article_stays(before, after):
+    page = f'<body>{before}<article><p>The whole story stands here.</p></article><div class="sidebar">Side</div>{after}</body>'
+    assert html_density.main_text(page) == "The whole story stands here."
+
+
+def test_headings_and_sections_named_by_a_hint_word_stay():
+    page = """<article><h2 id="Related_work">Related work</h2><p id="notice-period">Three months.</p>
+<section id="Social_policy"><p>It is strict.</p></section><section id="comments"><p>Reader says hi, and hi, and hi to all.</p></section></article>"""
+    assert html_density.main_text(page) == "Related work\n\nThree months.\n\nIt is strict."
+
+
 def test_main_text_is_linear_enough():
     assert len(html_density.main_text("<div>" * 20000 + "text")) == 4
     assert html_density.main_text("<p>" + "word " * 200000).count("word") == 200000
