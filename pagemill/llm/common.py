@@ -15,16 +15,40 @@ BATCH_ROWS = 1000
 
 
 def staging_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a single-machine session (tests) gets a temporary one; on a cluster that would scatter the
+    rows over the executors' disks, so it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{staging_root(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later result reads."""
+    for one in tables:
+        if path := one.__dict__.get("staged_path"):
+            files, place = _files(one.sparkSession, path)
+            files.delete(place, True)
 
 
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -36,37 +60,56 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     schema = df.schema
     writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_path = path
+    return out
 
 
-def arrow_map(
-    df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, slice_rows: int = 512
-) -> DataFrame:
-    """``mapInArrow`` over column dicts, fed in slices of ``slice_rows`` so that Python memory stays bounded."""
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of at most ``rows``, so that Python memory stays bounded."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with the package at hand. The session's batches shrink from Spark's default to ``BATCH_ROWS``.
+
+    Texts are large: 10,000 rows a batch would hold too much beside the heap. Spark reads the setting when the
+    plan runs, so it stays set; a value of the caller's own is left alone.
+    """
     spark = df.sparkSession
     ship(spark)
-    # Texts are large: Spark's default of 10,000 rows a batch would hold too much beside the heap.
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    out = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(batches):
+    def pooled(batches):
         pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between batches
+        yield from run(batches)
+
+    return df.mapInArrow(pooled, schema)
 
-        def slices():
-            for batch in batches:
-                for at in range(0, batch.num_rows, slice_rows):
-                    part = batch.slice(at, slice_rows)
-                    yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
 
-        for got in rows(slices()):
+def arrow_map(
+    df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str, slice_rows: int = 512
+) -> DataFrame:
+    """``map_batches`` over column dicts, fed in slices of ``slice_rows``."""
+    out = arrow_schema(schema)
+
+    def run(batches):
+        slices = ({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)} for part in small_batches(batches, slice_rows))
+        for got in rows(slices):
             if len(next(iter(got.values()))):
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,10 +6,10 @@ bytes of the SHA-256 of its bytes; each chunk is stored once. A document is a re
 addresses, with the Merkle root over them.
 
 Layout below ``path``:
-  objects/kind=chunk   hash binary(16), width tinyint (bytes an id), payload binary (little-endian ids)
-  objects/kind=recipe  key, n_tokens, hashes binary (16 bytes a chunk), root binary(16), as encoded
-  recipes              the same in ascending key order, with part, row and the ids before it within its part
-  parts                ids before each part
+  objects  kind 'chunk': hash binary(16), width tinyint (bytes an id), payload binary (little-endian ids);
+           kind 'recipe': key, n_tokens, hashes binary (16 bytes a chunk), root binary(16), as encoded
+  recipes  the recipes in ascending key order, with part, row and the ids before it within its part
+  parts    ids before each part
 
 Reading back verifies every chunk against its address, every recipe against its root and length. Checksums of
 documents come from the checksums of the chunks read (crc32 combines), so payloads need not move again.
@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pagemill.llm.common import arrow_map
+from pagemill.llm.common import arrow_map, arrow_schema, map_batches, small_batches
 from pagemill.llm.tokens import DTYPE, encode_rows
 
 SPAN = 8
@@ -101,46 +102,60 @@ def packed(ids: np.ndarray) -> tuple[int, bytes]:
     return width, ids.astype(f"<u{width}").tobytes()
 
 
+def _sliced(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary array whose values end at byte ``ends`` of ``data``, without a Python object each."""
+    offsets = np.append(0, ends).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _payloads(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(bytes an id, payload) of the chunks that end at ``ends`` in one id stream."""
+    widths = np.where(np.maximum.reduceat(ids, np.append(0, ends[:-1])) < 1 << 16, 2, 4)
+    if (widths == 2).all():
+        return widths, _sliced(ids.astype("<u2"), 2 * ends)
+    return widths, pa.array([packed(part)[1] for part in np.split(ids, ends[:-1])], pa.binary())
+
+
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, text: str = "text", key: str = "doc_id", end_id: int = 1, mean: int = 256) -> None:
-    spark, kind_of_key = docs.sparkSession, dict(docs.dtypes)[key]
+    kind_of_key = dict(docs.dtypes)[key]
     schema = f"kind string, hash binary, width tinyint, payload binary, key {kind_of_key}, n_tokens bigint, hashes binary, root binary"
-    names = [f.split()[0] for f in schema.split(", ")]
+    out = arrow_schema(schema)
 
-    def encode(slices):
+    def rows_of(kind: str, n: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns["kind"] = pa.array([kind] * n, pa.string())
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in out], schema=out)
+
+    def encode(batches):
         sent: set[bytes] = set()
-        for rows in slices:
-            out = []
-            streams = encode_rows(tokenizer_path, rows["text"], end_id)
-            for own, ids, ends in zip(rows["key"], streams, cut_all(streams, mean)):
-                hashes, last = [], 0
-                for end in ends:
-                    width, data = packed(ids[last:end])
-                    name = address(bytes([width]) + data)
-                    hashes.append(name)
-                    last = end
-                    if name not in sent:
-                        sent.add(name)
-                        out.append(("chunk", name, width, data, None, None, None, None))
-                root = merkle_root(hashes)
-                out.append(("recipe", address(root + str(own).encode()), None, None, own, len(ids), b"".join(hashes), root))
-                if len(sent) > 500_000:
-                    sent.clear()
-            yield {n: [r[i] for r in out] for i, n in enumerate(names)}
-
-    def once(batches):
-        seen: set[bytes] = set()
-        for batch in batches:
-            stay = []
-            for kind, name in zip(batch.column("kind").to_pylist(), batch.column("hash").to_pylist()):
-                stay.append(kind == "recipe" or name not in seen)
-                if kind == "chunk":
-                    seen.add(name)
-            yield batch.filter(pa.array(stay, pa.bool_()))
+        for batch in small_batches(batches, 128):
+            streams = encode_rows(tokenizer_path, batch.column("text").to_pylist(), end_id)
+            cuts, sizes = cut_all(streams, mean), np.array(list(map(len, streams)))
+            ends = np.concatenate([np.array(c) + first for c, first in zip(cuts, np.cumsum(sizes) - sizes)])
+            widths, payloads = _payloads(np.concatenate(streams), ends)
+            hashes = [address(bytes((w,)) + p) for w, p in zip(widths.tolist(), payloads.to_pylist())]
+            fresh = []
+            for i, name in enumerate(hashes):
+                if name not in sent:
+                    sent.add(name)
+                    fresh.append(i)
+            if len(sent) > 500_000:
+                sent.clear()
+            if fresh:
+                at = pa.array(fresh)
+                yield rows_of("chunk", len(fresh), hash=pa.array(hashes, pa.binary()).take(at), width=pa.array(widths).take(at), payload=payloads.take(at))
+            counts = np.cumsum(list(map(len, cuts)))
+            roots = [merkle_root(hashes[a:b]) for a, b in zip([0, *counts.tolist()], counts.tolist())]
+            names = [address(root + str(own).encode()) for root, own in zip(roots, batch.column("key").to_pylist())]
+            recipes = _sliced(np.frombuffer(b"".join(hashes), np.uint8), ADDRESS * counts)
+            yield rows_of("recipe", len(roots), hash=pa.array(names), key=batch.column("key"), n_tokens=pa.array(sizes), hashes=recipes, root=pa.array(roots))
 
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    dealt = arrow_map(base, encode, schema, slice_rows=64).repartition("hash")
-    dealt.mapInArrow(once, schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
-    _write_order(spark, path, kind_of_key)
+    # Chunks that several tasks met sit side by side in hash order; the first of them stays.
+    before = F.lag("hash").over(Window.partitionBy("hash").orderBy("kind"))
+    dealt = map_batches(base, encode, schema).withColumn("again", before.isNotNull())
+    once = dealt.where((F.col("kind") == "recipe") | ~F.col("again")).drop("again")
+    once.write.option("compression", "zstd").parquet(f"{path}/objects")
+    _write_order(docs.sparkSession, path, kind_of_key)
 
 
 def _objects(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
