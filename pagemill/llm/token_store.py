@@ -198,37 +198,51 @@ def _times(a: int, b: int) -> int:
     return product
 
 
-@lru_cache(4096)
-def _shift(n_bytes: int) -> int:
-    """x to the number of bits, by squaring."""
-    result, square, n = 1 << 31, 1 << 30, 8 * n_bytes
-    while n:
-        if n & 1:
-            result = _times(square, result)
-        square = _times(square, square)
-        n >>= 1
-    return result
+@lru_cache(64)
+def _doubling(k: int) -> np.ndarray:
+    """Tables (by byte of a checksum) of the effect of 2**k zero bytes."""
+    power = 1 << 30  # x
+    for _ in range(k + 3):
+        power = _times(power, power)
+    out = np.zeros((4, 256), np.uint32)
+    for byte in range(4):
+        for bit in range(8):
+            out[byte, 1 << bit : 2 << bit] = out[byte, : 1 << bit] ^ np.uint32(_times(power, 1 << (8 * byte + bit)))
+    return out
+
+
+def crc32_shift(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """Effect of ``n_bytes`` further zero bytes on each checksum, as far as it concerns concatenation."""
+    crcs, k = crcs.astype(np.uint32), 0
+    while n_bytes.any():
+        at = np.flatnonzero(n_bytes & 1)
+        own, tables = crcs[at], _doubling(k)
+        crcs[at] = tables[0][own & 255] ^ tables[1][own >> 8 & 255] ^ tables[2][own >> 16 & 255] ^ tables[3][own >> 24]
+        n_bytes, k = n_bytes >> 1, k + 1
+    return crcs
 
 
 def crc32_concat(first: int, second: int, n_second: int) -> int:
     """crc32 of a concatenation from the crc32 of both and the bytes of the second."""
-    return _times(_shift(n_second), first) ^ second if first else second
+    return int(crc32_shift(np.array([first]), np.array([n_second]))[0]) ^ second
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(hash, crc, n) of every chunk as read and verified; crc over its ids as unsigned 32-bit numbers."""
 
-    def check(slices):
-        for rows in slices:
-            out = []
-            for name, width, data in zip(rows["hash"], rows["width"], rows["payload"]):
-                if address(bytes([width]) + data) != name:
+    def check(batches):
+        for batch in small_batches(batches, 4096):
+            crcs, sizes = [], []
+            for name, width, data in zip(*(batch.column(c).to_pylist() for c in ("hash", "width", "payload"))):
+                if address(bytes((width,)) + data) != name:
                     raise ValueError(f"chunk {name.hex()} does not match its address")
-                ids = np.frombuffer(data, f"<u{width}").astype(DTYPE)
-                out.append((name, zlib.crc32(ids.tobytes()), len(ids)))
-            yield {n: [r[i] for r in out] for i, n in enumerate(("hash", "crc", "n"))}
+                ids = np.frombuffer(data, f"<u{width}")
+                crcs.append(zlib.crc32(ids.astype(DTYPE)))
+                sizes.append(len(ids))
+            columns = [batch.column("hash"), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "crc", "n"])
 
-    return arrow_map(_objects(spark, path, "chunk", "hash binary, width tinyint, payload binary"), check, "hash binary, crc bigint, n int", 4096)
+    return map_batches(_objects(spark, path, "chunk", "hash binary, width tinyint, payload binary"), check, "hash binary, crc bigint, n int")
 
 
 def _recipe_chunks(recipes: DataFrame) -> DataFrame:
@@ -242,26 +256,32 @@ def read_digests(spark: SparkSession, path: str, key: str = "doc_id") -> DataFra
     """(key, start, n_tokens, ids_crc32, root) of every document, verified from the files."""
     recipes, parts = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/parts")
     whole = _recipe_chunks(recipes).join(read_chunks(spark, path), "hash", "left")
-    whole = whole.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("at", "crc", "n", "hash"))).alias("chunks"))
+    whole = whole.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("at", "crc", "n"))).alias("chunks"))
     # ``parts`` has one row for each write task of the recipes.
-    named = recipes.join(F.broadcast(parts), "part").select("part", "row", "key", F.expr("part_start + before AS start"), "n_tokens", "root")
-    joined = named.join(whole, ["part", "row"])
-    joined = joined.select("key", "start", "n_tokens", "root", *(F.col(f"chunks.{c}").alias(c) for c in ("crc", "n", "hash")))
+    named = recipes.join(F.broadcast(parts), "part").select("part", "row", "key", F.expr("part_start + before AS start"), "n_tokens", "root", "hashes")
+    joined = named.join(whole, ["part", "row"]).drop("part", "row")
+    joined = joined.select("key", "start", "n_tokens", "root", "hashes", F.col("chunks.crc").alias("crc"), F.col("chunks.n").alias("n"))
     kind_of_key = dict(recipes.dtypes)["key"]
-
-    def combine(slices):
-        for rows in slices:
-            found = []
-            for n_tokens, root, crcs, sizes, hashes in zip(rows["n_tokens"], rows["root"], rows["crc"], rows["n"], rows["hash"]):
-                if None in crcs or sum(sizes) != n_tokens or merkle_root(list(map(bytes, hashes))) != root:
-                    raise ValueError(f"recipe {root.hex()} cannot be rebuilt")
-                total = 0
-                for crc, size in zip(crcs, sizes):
-                    total = crc32_concat(total, crc, 4 * size)
-                found.append(total)
-            yield {k: rows[k] for k in ("key", "start", "n_tokens", "root")} | {"ids_crc32": found}
-
-    out = arrow_map(joined, combine, f"key {kind_of_key}, start bigint, n_tokens bigint, ids_crc32 bigint, root binary", 1024)
+    schema = f"key {kind_of_key}, start bigint, n_tokens bigint, ids_crc32 bigint, root binary"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def combine(batches):
+        for batch in small_batches(batches, 1024):
+            crcs, sizes = (batch.column(c).flatten() for c in ("crc", "n"))
+            counts = batch.column("crc").value_lengths().to_numpy()
+            firsts = np.cumsum(counts) - counts
+            n_tokens = batch.column("n_tokens").to_numpy()
+            whole = not crcs.null_count and (np.add.reduceat(sizes.to_numpy(), firsts) == n_tokens).all()
+            for root, hashes in zip(batch.column("root").to_pylist(), batch.column("hashes").to_pylist()):
+                if not whole or merkle_root([hashes[i : i + ADDRESS] for i in range(0, len(hashes), ADDRESS)]) != root:
+                    raise ValueError(f"recipe {root.hex()} or one beside it cannot be rebuilt")
+            ends = np.cumsum(sizes.to_numpy())
+            after = np.repeat(ends[firsts + counts - 1], counts) - ends  # ids of the document behind each chunk
+            found = np.bitwise_xor.reduceat(crc32_shift(crcs.to_numpy(), 4 * after), firsts)
+            columns = [batch.column(c) for c in names if c != "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*columns[:3], pa.array(found.astype(np.int64)), *columns[3:]], names)
+
+    out = map_batches(joined, combine, schema)
     return out.select(F.col("key").alias(key), "start", "n_tokens", "ids_crc32", F.hex("root").alias("root"))
 
 
