@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagemill.runtime import ship
 
@@ -112,5 +115,17 @@ def arrow_map(
     return map_batches(df, run, schema)
 
 
+def salted_join(many: DataFrame, few: DataFrame, on: str, by: str, salts: int = 16) -> DataFrame:
+    """Inner join on ``on``; rows of one key on the side of ``many`` are dealt to ``salts`` tasks by a hash of ``by``."""
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [on, "__salt"]).drop("__salt")
+
+
+def row_numbers() -> Iterator[int]:
+    """Numbers that no other row of the same stage gets; fixed once the rows are written."""
+    return count(TaskContext.get().partitionId() << 33)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -136,9 +136,13 @@ ORACLE_SQL = {
           FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS pos FROM item_words WHERE len(w) >= 5)),
         sizes AS (SELECT item_id, count(*) AS item_shingles FROM item_grams GROUP BY item_id),
         shared AS (
-          SELECT doc_id, item_id, count(*) AS shared FROM grams JOIN item_grams USING (gram) GROUP BY doc_id, item_id)
+          SELECT doc_id, item_id, count(*) AS shared FROM grams JOIN item_grams USING (gram) GROUP BY doc_id, item_id),
+        short AS (SELECT item_id, array_to_string(w, ' ') AS phrase FROM item_words WHERE len(w) BETWEEN 1 AND 4),
+        lines AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS line FROM words)
         SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment
-        FROM shared JOIN sizes USING (item_id) WHERE shared >= 0.8 * item_shingles - 1e-9""",
+        FROM shared JOIN sizes USING (item_id) WHERE shared >= 0.8 * item_shingles - 1e-9
+        UNION ALL
+        SELECT doc_id, item_id, 1, 1, 1.0 FROM lines JOIN short ON contains(line, ' ' || phrase || ' ')""",
     "op10_url_filters": f"""
         WITH parts AS (
           SELECT page_id, translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}') AS low, contains(coalesce(url, ''), '://') AS web,

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 from pagemill.llm import decontaminate, graph, line_runs, simhash
+from pyspark.sql import functions as F
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -142,12 +143,21 @@ def test_near_duplicates_rows(spark):
     assert simhash.near_duplicates(frame.limit(0)).count() == 0 == simhash.one_of_each(frame.limit(0)).count()
 
 
-def grams(text):
+def grams(text, width=5):
     words = decontaminate.words_of(text)
-    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
 
 
-def test_containment_against_brute_force(spark):
+def plain_containment(docs, items):
+    out = []
+    for item, phrase in items:
+        width = min(5, len(decontaminate.words_of(phrase)))
+        own = grams(phrase, width) if width else set()
+        out += [(d, item, len(own & grams(t, width))) for d, t in docs if own and len(own & grams(t, width)) >= 0.8 * len(own)]
+    return sorted(out)
+
+
+def test_containment_against_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(3, 40)))) for i in range(30)] + [(90, None), (91, ""), (92, "one two three")]
@@ -160,13 +170,43 @@ def test_containment_against_brute_force(spark):
             part[rng.randrange(len(part))] = "zzz"
         docs.append((i, " ".join(words + part + words).upper().replace(" ", "*** ")))
     docs += [(100, None), (101, ""), (102, "one two three")]
-    expected = sorted((d, i, len(grams(t) & grams(x))) for d, t in docs for i, x in items if grams(x) and len(grams(t) & grams(x)) >= 0.8 * len(grams(x)))
+    docs += [(103, "long " * 3000 + "One, TWO - three" + " w1" * 200_000), (104, "Straße İstanbul ΟΔΟΣ one"), (105, "w2 w3")]
+    items += [(93, "strasse İSTANBUL"), (94, "ΟΔΟΣ"), (95, "w2 w3"), (95, "w2 w3")]
+    expected = plain_containment(docs, items)
+    assert {(103, 92), (104, 94), (105, 95)} <= {(d, i) for d, i, _ in expected}
     frame = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    for size in (500_000, 40):  # one block of items, and many
-        got = decontaminate.find_contaminated(frame, bench, block_shingles=size)
-        assert sorted((r.doc_id, r.item_id, r.shared) for r in got.collect()) == expected
-    assert expected
+    got = decontaminate.find_contaminated(frame, bench)
+    assert sorted((r.doc_id, r.item_id, r.shared) for r in got.collect()) == expected
+    # A bitmap that is far too small only sends more rows to the joins.
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 1 << 15)
+    monkeypatch.setattr(decontaminate, "GROUP", 2)
+    got = decontaminate.find_contaminated(frame.unionByName(frame), bench)
+    assert sorted((r.doc_id, r.item_id, r.shared) for r in got.collect()) == sorted(expected + expected)
     kept = decontaminate.without_contaminated(frame, bench)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in docs} - {d for d, _, _ in expected})
     assert decontaminate.find_contaminated(frame.limit(0), bench).count() == 0 == decontaminate.find_contaminated(frame, bench.limit(0)).count()
+
+
+def test_sketches_are_the_way_to_candidates(spark):
+    """Few pairs are verified: an item whose sketch a text misses is never compared with it."""
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(words, k=30))) for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, k=300)) + " " + (items[i][1] if i < 10 else " ".join(items[i % 40][1].split()[:9]))) for i in range(80)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    numbered = decontaminate.item_sketches(bench, "text", "item_id", 5, 0.8)
+    sketches = numbered.select("number", "width", "least", F.explode("sketch").alias("h"))
+    met = decontaminate._met(frame, "text", "doc_id", decontaminate.Probe(sketches))
+    pairs = decontaminate.candidates(met, sketches).count()
+    assert decontaminate.find_contaminated(frame, bench).count() == 10 <= pairs < 80 < 80 * 40
+    sharing = sum(bool(grams(t) & grams(x)) for _, t in docs for _, x in items)
+    assert pairs < sharing  # fewer than share a shingle at all
+
+
+def test_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f g", 5, 6, 7)], "doc_id long, text string, key int, hash int, row int")
+    bench = spark.createDataFrame([(1, "b c d e f", "x")], "item_id long, text string, words string")
+    assert [r.doc_id for r in decontaminate.find_contaminated(frame, bench).collect()] == [1]
+    kept = decontaminate.without_contaminated(frame, bench)
+    assert kept.columns == frame.columns and kept.count() == 0

@@ -2,12 +2,13 @@
 
 import random
 import zlib
+from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
-from pagemill.llm import decontaminate, queries, simhash, tokens
+from pagemill.llm import jaccard, queries, tokens
 
-from tests.llm.test_dedup_ops import plain_classes, plain_lines
+from tests.llm.test_dedup_ops import plain_containment, plain_lines
 
 WORDS = {
     "en": "the house and garden with river that was there when people came home from work on monday",
@@ -41,14 +42,15 @@ def test_pipeline(spark, tmp_path):
 
     docs = [(r[0], r[1]) for r in rows if r[1] and any(c.isalpha() for c in r[1])]
     docs = [(i, t) for i, _, t in plain_lines(docs)]
-    prints = {i: simhash.fingerprint(t, 4) for i, t in docs}
-    first = {}
-    for group in plain_classes(sorted(set(prints.values()))):
-        keep = min(i for i, p in prints.items() if p in set(group))
-        first[keep] = True
-    docs = [(i, t) for i, t in docs if i in first]
-    index = decontaminate.ItemBlock([(1, item)], 5, 0.8)
-    docs = [(i, t) for i, t in docs if not list(index.search(t, 0.8))]
+    sets = {i: set(jaccard.shingle_set(t).tolist()) for i, t in docs}
+    root = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    docs = [(i, t) for i, t in docs if root[i] == i]
+    gone = {d for d, _, _ in plain_containment(docs, [(1, item)])}
+    docs = [(i, t) for i, t in docs if i not in gone]
     assert len(docs) < 60 and 30 not in dict(docs) and 20 not in dict(docs)
     assert set(pieces.doc_id) == {i for i, _ in docs}
     cache = tokens.WordCache(queries.tokenizer_path())
