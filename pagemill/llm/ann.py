@@ -1,19 +1,24 @@
 """Approximate nearest neighbours by low-dimensional stable projections.
 
 Unit vectors are projected onto ``m`` Gaussian directions: a pair at distance d is at a projected distance whose
-square is d squared times a chi-square variable with m degrees of freedom. Every partition indexes its own vectors
-by a kd-tree over the projections. A query visits leaves in the order of their projected lower bound and verifies
-their members by exact cosine, until the bound is so large that a vector nearer than the present k-th best would
-lie within it with probability ``p`` (the chi-square test). Every partition gives each query its k best; the k best
-of these are the answer.
+square is d squared times a chi-square variable with m degrees of freedom. A kd-tree over the projections hands out
+projected neighbours from near to far; each one within the present radius is verified by exact cosine. The search
+stops when the next projected neighbour is so far that a vector nearer than the present k-th best would lie within
+with probability ``p`` (the chi-square test), so about a share ``p`` of the true neighbours is found.
 
-Queries are the stated set. They are broadcast in blocks of ``query_block``; vectors never move. Equal vectors of a
-partition are one index entry with its k + 1 smallest ids, which also settles ties by id.
+The kd-tree has two parts. Its top, split planes fitted on a bounded sample (``sample_rows`` by a hash of the ids, at
+most ``MOST_CELLS`` cells), deals all vectors to cells once. Below, every cell (in shards of about ``cell_rows``) has
+a tree of its own. A query is searched in its own cell first; the radius found there tells which other cells it has to
+visit, by the bounds of their projections. Queries and vectors meet by cell, in groups of bounded size, so nothing is
+gathered on the driver but counts and bounds by cell, and the passes do not grow with the queries.
+
+Equal vectors: only the k + 1 smallest ids stay as candidates, limited before they move, which also settles ties.
 
 Defined results: null, zero and non-finite vectors (or such components) and rows with a null id take no part;
 vectors of another length than the query's are no candidates of it; rows with the query's own id neither; repeated
 ids count once with their best score; a query id that repeats is asked once, with its smallest vector; an empty table
-gives no rows; extra columns are ignored.
+gives no rows; extra columns are ignored. Scores are summed in one fixed order, so they do not depend on the grouping.
+``verified`` tells how many cosines were computed for a query.
 """
 
 from __future__ import annotations
@@ -26,7 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.runtime import ship
+from pagemill.llm.common import map_batches, small_batches, staged
+
+MOST_CELLS = 4096
+_RESULT = "query_id bigint, id bigint, score double, verified bigint"
 
 
 def chi_square_bound(m: int, p: float) -> float:
@@ -44,10 +52,35 @@ def projection(dim: int, m: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, m))
 
 
+def norms_of(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(axis=1))
+
+
+class Cells:
+    """Top of the kd-tree of one vector length: a complete binary tree of split planes."""
+
+    def __init__(self, points: np.ndarray, depth: int):
+        self.depth, self.axis, self.cut = depth, np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, np.inf)
+        held = {0: points}
+        for node in range((1 << depth) - 1):
+            own = held.pop(node)
+            if len(own):
+                self.axis[node] = axis = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
+                self.cut[node] = np.median(own[:, axis])
+            right = own[:, self.axis[node]] > self.cut[node]
+            held[2 * node + 1], held[2 * node + 2] = own[~right], own[right]
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (points[np.arange(len(points)), self.axis[node]] > self.cut[node])
+        return node - ((1 << self.depth) - 1)
+
+
 class KdTree:
     """Leaves of a kd-tree: an order of the points, leaf bounds within it, and a box for each leaf."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 48):
+    def __init__(self, points: np.ndarray, leaf: int = 32):
         order, todo, spans = np.arange(len(points)), [(0, len(points))], []
         while todo:
             a, b = todo.pop()
@@ -59,82 +92,168 @@ class KdTree:
             mid = (b - a) // 2
             order[a:b] = order[a:b][np.argpartition(own[:, axis], mid)]
             todo += [(a, a + mid), (a + mid, b)]
-        self.order, self.spans = order, spans
+        self.order, self.spans, self.points = order, spans, points
         self.low = np.array([points[order[a:b]].min(axis=0) for a, b in spans])
         self.high = np.array([points[order[a:b]].max(axis=0) for a, b in spans])
 
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Squared lower bound of the distance of each query to each leaf."""
-        out = np.zeros((len(queries), len(self.spans)))
-        for axis in range(queries.shape[1]):
-            q = queries[:, axis : axis + 1]
-            out += np.maximum(0, np.maximum(self.low[:, axis] - q, q - self.high[:, axis])) ** 2
-        return out
+
+def box_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared lower bound of the distance of each query to each box."""
+    out = np.zeros((len(queries), len(low)))
+    for axis in range(queries.shape[1]):
+        q = queries[:, axis : axis + 1]
+        out += np.maximum(0, np.maximum(low[:, axis] - q, q - high[:, axis])) ** 2
+    return out
 
 
 class Block:
-    """Index of one partition's vectors of one length."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, m: int, k: int):
-        order = np.lexsort((ids, *vectors.T[::-1]))
-        ids, vectors = ids[order], vectors[order]
-        new = np.append(True, np.any(vectors[1:] != vectors[:-1], axis=1))
-        first = np.flatnonzero(new)
-        self.members = [np.unique(ids[a:b])[: k + 1] for a, b in zip(first, [*first[1:], len(ids)])]
-        self.vectors = vectors[first]
-        self.norms = np.sqrt((self.vectors**2).sum(axis=1))
+    """Index of some vectors of one length."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, m: int):
+        self.ids, self.vectors, self.norms = ids, vectors, norms_of(vectors)
         self.project = projection(vectors.shape[1], m)
-        self.tree = KdTree(self.vectors / self.norms[:, None] @ self.project)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, stop: float, step: int = 4):
-        """Yields (query id, neighbour id, cosine) for the k best of each query found here."""
-        tree, norms = self.tree, np.sqrt((queries**2).sum(axis=1))
-        for at in range(0, len(queries), 256):
-            part = slice(at, at + 256)
-            lows = tree.bounds(queries[part] / norms[part, None] @ self.project)
-            ranks = np.argsort(lows, axis=1)
-            for own, query, norm, low, rank in zip(query_ids[part].tolist(), queries[part], norms[part], lows, ranks):
-                held, scores, worst = np.empty(0, np.int64), np.empty(0), -2.0
-                for i in range(0, len(rank), step):
-                    if len(held) > k and low[rank[i]] > stop * max(0.0, 2 - 2 * worst) + 1e-12:
-                        break
-                    new = np.concatenate([tree.order[a:b] for a, b in (tree.spans[r] for r in rank[i : i + step])])
-                    got = self.vectors[new] @ query / (self.norms[new] * norm)
-                    near = got >= worst
-                    held, scores = np.append(held, new[near]), np.append(scores, got[near])
-                    if len(held) > k + 1:  # one more entry, as the query's own may be among them
-                        worst = -np.partition(-scores, k)[k]
-                        keep = scores >= worst
-                        held, scores = held[keep], scores[keep]
-                best: dict[int, float] = {}
-                for entry, score in zip(held.tolist(), scores.tolist()):
-                    for other in self.members[entry].tolist():
-                        if other != own and score > best.get(other, -2.0):
-                            best[other] = score
-                for other, score in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]:
-                    yield own, other, score
-
-
-def _usable(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By vector length: ids and vectors of the rows that take part."""
-    ids, lists = batch.column(0), batch.column(1)
-    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    valid = ids.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0)
-    for size in np.unique(sizes[valid]).tolist():
-        rows = np.flatnonzero(valid & (sizes == size))
-        own = batch.take(pa.array(rows))
-        vectors = own.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, size)
-        good = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
-        if good.any():
-            found[size] = own.column(0).to_numpy(zero_copy_only=False)[good].astype(np.int64), vectors[good]
+        self.tree = KdTree(vectors / self.norms[:, None] @ self.project)
+
+    def search(self, own: int, query: np.ndarray, low: np.ndarray, point: np.ndarray, k: int, stop: float, worst: float):
+        """(ids, cosines, verified): the k best of one query found here that reach ``worst``, its k-th best so far."""
+        tree, norm = self.tree, norms_of(query[None])[0]
+        held, scores, verified = np.empty(0, np.int64), np.empty(0), 0
+        rank, at, step = np.argsort(low), 0, 1
+        while at < len(rank):
+            limit = stop * max(0.0, 2 - 2 * worst) + 1e-12
+            if low[rank[at]] > limit:
+                break
+            near = np.concatenate([tree.order[a:b] for a, b in (tree.spans[r] for r in rank[at : at + step])])
+            at, step = at + step, min(2 * step, 32)
+            away = ((tree.points[near] - point) ** 2).sum(axis=1)
+            inside = np.flatnonzero(away <= limit)
+            inside = inside[np.argsort(away[inside], kind="stable")]
+            # From near to far, in short runs: each run may shorten the radius.
+            for first in range(0, len(inside), 64):
+                run = inside[first : first + 64]
+                run = near[run[away[run] <= stop * max(0.0, 2 - 2 * worst) + 1e-12]]
+                run = run[self.ids[run] != own]
+                if not len(run):
+                    continue
+                got = (self.vectors[run] * query).sum(axis=1) / (self.norms[run] * norm)
+                verified += len(run)
+                good = got >= worst
+                held, scores = np.append(held, run[good]), np.append(scores, got[good])
+                if len(held) >= k:
+                    held, scores, worst = self._best(held, scores, k, worst)
+        best = np.lexsort((self.ids[held], -scores))
+        return self.ids[held[best]], scores[best], verified
+
+    def _best(self, held: np.ndarray, scores: np.ndarray, k: int, worst: float):
+        """The k best ids and the k-th best score; an id may stand for several vectors."""
+        order = np.lexsort((self.ids[held], -scores))
+        _, first = np.unique(self.ids[held][order], return_index=True)
+        order = order[np.sort(first)][:k]
+        held, scores = held[order], scores[order]
+        return held, scores, max(worst, scores[-1]) if len(held) == k else worst
+
+
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+
+
+def _usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v) of the rows that take part."""
+    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~odd & F.exists("v", lambda x: x != 0))
+
+
+def _placed(rows: DataFrame, cells: dict[int, Cells], m: int, extra: str = "") -> DataFrame:
+    """``rows`` (id, v) with x (the projection), dim and cell."""
+    shared = rows.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches):
+        for batch in small_batches(batches, 4096):
+            sizes = batch.column("v").value_lengths().to_numpy()
+            for dim in np.unique(sizes).tolist():
+                own = batch.filter(pa.array(sizes == dim))
+                vectors = _matrix(own.column("v"), dim)
+                points = vectors / norms_of(vectors)[:, None] @ projection(dim, m)
+                cell = shared.value[dim].of(points) if dim in shared.value else np.zeros(len(points), np.int64)
+                x = pa.ListArray.from_arrays(pa.array(np.arange(0, points.size + 1, m, dtype=np.int32)), pa.array(points.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("id"), own.column("v"), x, pa.array(np.full(len(points), dim, np.int32)), pa.array(cell.astype(np.int32))], ["id", "v", "x", "dim", "cell"]
+                )
+
+    return map_batches(rows, run, "id bigint, v array<double>, x array<double>, dim int, cell int")
+
+
+def _fit(rows: DataFrame, m: int, cell_rows: int, sample_rows: int) -> dict[int, Cells]:
+    """Split planes by vector length, from at most about ``sample_rows`` vectors of each length."""
+    found = {}
+    for r in rows.groupBy(F.size("v").alias("dim")).count().collect():
+        depth = min(MOST_CELLS, -(-r["count"] // cell_rows) - 1).bit_length() if r["count"] > cell_rows else 0
+        points = np.empty((0, m))
+        if depth:
+            share = int(1e6 * min(1.0, sample_rows / r["count"]))
+            sample = rows.where((F.size("v") == r["dim"]) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)).limit(2 * sample_rows)
+            vectors = _matrix(sample.select("v").toArrow().column("v"), r["dim"])
+            points = vectors / norms_of(vectors)[:, None] @ projection(r["dim"], m)
+        found[r["dim"]] = Cells(points, depth)
     return found
 
 
-def _merge(parts: list[dict]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    return {
-        size: tuple(np.concatenate([p[size][i] for p in parts if size in p]) for i in (0, 1)) for size in sorted({s for p in parts for s in p})
-    }
+def _search(asked: DataFrame, rows: DataFrame, sizes: DataFrame, k: int, m: int, stop: float, query_rows: int) -> DataFrame:
+    """Results of queries (id, v, x, dim, cell, worst) among the rows (id, v, dim, cell) of their cells."""
+    # One row a cell, of which there are at most MOST_CELLS for each length.
+    asks = asked.groupBy("dim", "cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks"))
+    plan = F.broadcast(staged(sizes.join(asks, ["dim", "cell"]), "ann-plan"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.join(plan, ["dim", "cell"]).select("id", "v", "dim", "cell", "blocks", part("shards").alias("shard"))
+    held = held.select("id", "v", "dim", "cell", "shard", every("blocks").alias("block"))
+    asking = asked.join(plan, ["dim", "cell"]).select("id", "v", "x", "worst", "dim", "cell", "shards", part("blocks").alias("block"))
+    asking = asking.select("id", "v", "x", "worst", "dim", "cell", "block", every("shards").alias("shard"))
+    group = ("dim", "cell", "shard", "block")
+
+    def search(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        dim, out = key[0].as_py(), []
+        if queries.num_rows and vectors.num_rows:
+            block = Block(vectors.column("id").to_numpy(), _matrix(vectors.column("v"), dim), m)
+            ids, asked, points = queries.column("id").to_numpy(), _matrix(queries.column("v"), dim), _matrix(queries.column("x"), m)
+            worst = queries.column("worst").to_numpy()
+            for at in range(0, len(ids), 256):
+                lows = box_bounds(points[at : at + 256], block.tree.low, block.tree.high)
+                for i, low in enumerate(lows, at):
+                    found, scores, verified = block.search(int(ids[i]), asked[i], low, points[i], k, stop, float(worst[i]))
+                    out.append((np.full(max(1, len(found)), ids[i]), found if len(found) else [-1], scores if len(found) else [-2.0], [verified] + [0] * (len(found) - 1)))
+        parts = [np.concatenate([o[i] for o in out]) if out else [] for i in range(4)]
+        return pa.table([pa.array(c, t) for c, t in zip(parts, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["query_id", "id", "score", "verified"])
+
+    return asking.groupBy(*group).cogroup(held.groupBy(*group)).applyInArrow(search, _RESULT)
+
+
+def _cells_to_visit(asked: DataFrame, boxes: list, stop: float) -> DataFrame:
+    """One row for each query and other cell that may hold a nearer vector; ``boxes``: (dim, cell, low, high) rows."""
+    by_dim = {d: [b for b in boxes if b["dim"] == d] for d in {b["dim"] for b in boxes}}
+    shared = asked.sparkSession.sparkContext.broadcast(
+        {d: (np.array([b["cell"] for b in bs]), np.array([b["low"] for b in bs]), np.array([b["high"] for b in bs])) for d, bs in by_dim.items()}
+    )
+
+    def run(batches):
+        for batch in small_batches(batches, 256):
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in shared.value:
+                    continue
+                own = batch.filter(pa.array(dims == dim))
+                cells, low, high = shared.value[dim]
+                points = _matrix(own.column("x"), low.shape[1])
+                limit = stop * np.maximum(0, 2 - 2 * own.column("worst").to_numpy()) + 1e-12
+                query, cell = np.nonzero((box_bounds(points, low, high) <= limit[:, None]) & (cells != own.column("cell").to_numpy()[:, None]))
+                took = own.take(pa.array(query))
+                at = took.schema.get_field_index("cell")
+                yield took.set_column(at, "cell", pa.array(cells[cell].astype(np.int32)))
+
+    return map_batches(asked, run, "id bigint, v array<double>, x array<double>, dim int, cell int, worst double")
 
 
 def nearest(
@@ -143,71 +262,41 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     k: int = 5,
-    m: int = 8,
-    p: float = 0.97,
-    query_block: int = 20_000,
-    index_rows: int = 100_000,
+    m: int = 12,
+    p: float = 0.93,
+    cell_rows: int = 20_000,
+    query_rows: int = 20_000,
+    sample_rows: int = 50_000,
 ) -> DataFrame:
-    """(query_id, rank, neighbour as ``key``, score): the k largest cosines of each query among all other rows."""
-    spark = vectors.sparkSession
-    ship(spark)
+    """(query_id, rank, neighbour as ``key``, score, verified): the k largest cosines of each query among all other rows."""
     stop = chi_square_bound(m, p)
-    base = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
-    asked = vectors.where(is_query).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
-
-    def search(shared):
-        def run(batches):
-            queries = shared.value
-
-            def results(parts):
-                for size, (ids, values) in _merge(parts).items():
-                    if size in queries:
-                        yield from Block(ids, values, m, k).search(*queries[size], k, stop)
-
-            def packed(rows):
-                columns = list(zip(*rows)) or [(), (), ()]
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "id", "score"]
-                )
-
-            parts, n = [], 0
-            for batch in batches:
-                parts.append(_usable(batch))
-                n += batch.num_rows
-                if n >= index_rows:
-                    yield packed(results(parts))
-                    parts, n = [], 0
-            yield packed(results(parts))
-
-        return run
-
-    found = None
-    for block in _query_blocks(asked, query_block):
-        shared = spark.sparkContext.broadcast(block)
-        part = base.mapInArrow(search(shared), "query_id bigint, id bigint, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id bigint, id bigint, score double")
-    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    same = Window.partitionBy("v").orderBy("id")
+    distinct = _usable(vectors, key, vector).distinct()
+    base = staged(distinct.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"), "ann-vectors")
+    cells = _fit(base, m, cell_rows, sample_rows)
+    rows = staged(_placed(base, cells, m), "ann-cells")
+    bounds = rows.groupBy("dim", "cell").agg(
+        F.ceil(F.count("*") / cell_rows).cast("int").alias("shards"),
+        *(f(F.col("x")[i]).alias(f"{name}{i}") for i in range(m) for f, name in ((F.min, "low"), (F.max, "high"))),
+    )
+    sides = [F.array(*(F.col(f"{name}{i}") for i in range(m))).alias(name) for name in ("low", "high")]
+    bounds = staged(bounds.select("dim", "cell", "shards", *sides), "ann-bounds")
+    sizes, rows = bounds.select("dim", "cell", "shards"), rows.select("id", "v", "dim", "cell")
+    asked = _usable(vectors.where(is_query), key, vector).groupBy("id").agg(F.min("v").alias("v"))
+    asked = staged(_placed(asked, cells, m), "ann-queries")
+
+    found = staged(_search(asked.withColumn("worst", F.lit(-2.0)), rows, sizes, k, m, stop, query_rows), "ann-first")
+    boxes = bounds.drop("shards").collect()  # at most MOST_CELLS a length
+    if len(boxes) > 1:
+        best = found.where("score >= -1.5").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        best = best.withColumn("n", F.row_number().over(top)).where(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("score").alias("worst"))
+        again = asked.join(best, "id", "left").withColumn("worst", F.coalesce("worst", F.lit(-2.0)))
+        visits = staged(_cells_to_visit(again, boxes, stop), "ann-visits")
+        found = found.unionByName(staged(_search(visits, rows, sizes, k, m, stop, query_rows), "ann-second"))
+    work = found.groupBy(F.col("query_id").alias("q")).agg(F.sum("verified").alias("verified"))
+    scored = found.where("score >= -1.5").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(key), "score")
-
-
-def _query_blocks(asked: DataFrame, size: int):
-    """Blocks of queries, fetched partition by partition: {length: (ids, vectors)}, each id once."""
-    asked = asked.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
-    schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64()))])
-    rows: list = []
-
-    def block():
-        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], schema[0].type), pa.array([r[1] for r in rows], schema[1].type)], schema=schema)
-        return _usable(batch)
-
-    for row in asked.toLocalIterator():
-        rows.append(row)
-        if len(rows) >= size:
-            yield block()
-            rows = []
-    if rows:
-        yield block()
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = ranked.join(work, F.col("query_id") == F.col("q"))
+    return ranked.select("query_id", "rank", F.col("id").alias(key), "score", "verified")

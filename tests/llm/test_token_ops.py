@@ -107,7 +107,8 @@ def test_crc_of_concatenation():
         assert token_store.crc32_concat(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
 
 
-def test_nearest_against_brute_force(spark):
+@pytest.mark.parametrize("cells", [{}, {"cell_rows": 40, "query_rows": 3, "sample_rows": 300}])
+def test_nearest_against_brute_force(spark, cells):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((20, 16))
     vectors = (centres[rng.integers(0, 20, 600)] + 0.6 * rng.standard_normal((600, 16))).tolist()
@@ -116,7 +117,7 @@ def test_nearest_against_brute_force(spark):
     vectors[250] = (2 * np.array(vectors[100])).tolist()
     rows = list(enumerate(vectors)) + [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] + [1.0] * 15), (1150, [1.0, 2.0]), (None, vectors[0]), (1201, [None] + [1.0] * 15)]
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(5)
-    got = ann.nearest(frame, F.col("vec_id") % 50 == 0).toPandas()
+    got = ann.nearest(frame, F.col("vec_id") % 50 == 0, p=0.99, **cells).toPandas()
     V = np.array(vectors)
     N = V / np.linalg.norm(V, axis=1)[:, None]
     hit = 0
@@ -131,6 +132,27 @@ def test_nearest_against_brute_force(spark):
     assert set(got.query_id) == set(range(0, 600, 50))  # 1150 has no candidate of its length
 
 
+def test_nearest_stops_early(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((50, 64))
+    vectors = centres[rng.integers(0, 50, 3000)] + 0.5 * rng.standard_normal((3000, 64))
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, id int").repartition(4)
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    scores = []
+    for cell_rows in (5000, 500):
+        got = ann.nearest(frame, F.col("vec_id") % 100 == 0, cell_rows=cell_rows).toPandas()
+        hits = 0
+        for q, own in got.groupby("query_id"):
+            near = unit @ unit[q]
+            near[q] = -9
+            hits += len(set(np.argsort(-near)[:5]) & set(own.vec_id))
+        assert len(got) == 150 and hits >= 0.9 * 150
+        assert got.groupby("query_id").verified.max().mean() < 0.2 * 3000
+        scores.append({(r.query_id, r.vec_id): r.score for r in got.itertuples()})
+    shared = scores[0].keys() & scores[1].keys()
+    assert shared and all(scores[0][x] == scores[1][x] for x in shared)  # to the last bit
+
+
 def test_nearest_ties_and_few(spark):
     frame = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(0, 12)] + [(50, [1.0, 0.0])], "vec_id long, embedding array<float>").repartition(3)
     got = ann.nearest(frame, F.col("vec_id") == 50).orderBy("rank").collect()
