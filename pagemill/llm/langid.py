@@ -85,28 +85,41 @@ def _mixture(like: np.ndarray, owner: np.ndarray, firsts: np.ndarray, rounds: in
     return share
 
 
-def _language_set(like: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Proportions over the language set with the best penalised likelihood, for one text; the background stays."""
-    order = np.argsort(-share[:-1], kind="stable")
-    best, chosen = -np.inf, share
-    for k in range(1, len(order) + 1):
-        use = np.append(order[:k], len(share) - 1)
-        part = np.full(len(use), 1 / len(use))
-        for _ in range(20):
-            mixed = like[:, use] * part
-            part = (mixed / (mixed.sum(axis=1, keepdims=True) + 1e-300)).mean(axis=0)
-        value = np.log(like[:, use] @ part + 1e-300).sum() - k * np.log(len(like) + 1) / 2
-        if value > best:
-            best, chosen = value, np.zeros(len(share))
-            chosen[use] = part
-        elif share[order[k - 1]] < 0.01:
+def _language_sets(like: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, share: np.ndarray, rounds: int) -> np.ndarray:
+    """Proportions of each text over the language set of the best penalised likelihood; the background always stays.
+
+    The sets of a text are nested: its k languages of the largest proportions. They grow as long as that pays, so one
+    language is compared with two for every text.
+    """
+    n_langs = share.shape[1] - 1
+    order = np.argsort(-share[:, :-1], axis=1, kind="stable")
+    best, chosen = np.full(len(firsts), -np.inf), share.copy()
+    live = np.arange(len(firsts))
+    for k in range(1, n_langs + 1):
+        words = np.repeat(firsts[live] - np.cumsum(sizes[live]) + sizes[live], sizes[live]) + np.arange(sizes[live].sum())
+        starts, owner = np.cumsum(sizes[live]) - sizes[live], np.repeat(np.arange(len(live)), sizes[live])
+        use = np.column_stack([order[live, :k], np.full(len(live), n_langs)])
+        own = np.take_along_axis(like[words], use[owner], axis=1)
+        part = np.take_along_axis(share[live], use, axis=1) + 1e-6
+        part /= part.sum(axis=1, keepdims=True)
+        for _ in range(rounds):
+            mixed = own * part[owner]
+            mixed /= mixed.sum(axis=1, keepdims=True) + 1e-300
+            part = np.add.reduceat(mixed, starts, axis=0) / sizes[live][:, None]
+        value = np.add.reduceat(np.log((own * part[owner]).sum(axis=1) + 1e-300), starts) - k * np.log(sizes[live] + 1) / 2
+        pays = value > best[live]
+        live, use, part = live[pays], use[pays], part[pays]
+        if not len(live):
             break
+        best[live] = value[pays]
+        chosen[live] = 0
+        chosen[live[:, None], use] = part
     return chosen
 
 
-def judge(texts: list[str | None], langs: list[str], model: np.ndarray, rounds: int = 8) -> tuple[list[str], list[float], list[float]]:
-    """(language, its proportion within the chosen set, the background's proportion) of each text."""
-    names, scores, strange = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+def judge(texts: list[str | None], langs: list[str], model: np.ndarray, rounds: int = 8) -> list[tuple[list[str], list[float], float]]:
+    """(languages from the largest proportion on, their proportions, the background's proportion) of each text."""
+    out: list[tuple[list[str], list[float], float]] = [([], [], 0.0)] * len(texts)
     likes, sizes = [], []
     for text in texts:
         n = 0
@@ -128,29 +141,54 @@ def judge(texts: list[str | None], langs: list[str], model: np.ndarray, rounds:
         n = np.array([sizes[i] for i in held])
         firsts = np.cumsum(n) - n
         shares = _mixture(like, np.repeat(np.arange(len(held)), n), firsts, rounds)
-        for i, first, size, share in zip(held, firsts, n, shares):
-            if share[:-1].max() < 0.97:
-                share = _language_set(like[first : first + size], share)
-            best, total = int(share[:-1].argmax()), share[:-1].sum()
-            names[i] = langs[best]
-            scores[i] = float(min(1.0, share[best] / total)) if total > 0 else 0.0
-            strange[i] = float(share[-1])
-    return names, scores, strange
+        shares = _language_sets(like, firsts, n, shares, rounds)
+        for i, share in zip(held, shares.tolist()):
+            own = sorted((-x, name) for x, name in zip(share, langs) if x > 0) or [(0.0, langs[0])]
+            out[i] = ([name for _, name in own], [-x for x, _ in own], share[-1])
+    return out
 
 
-def identify(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, lang_pred, score, background. One pass, no shuffle; the model (about 0.5 MB a language) is broadcast."""
+_FIELDS = "lang_pred string, score double, background double, languages array<string>, proportions array<double>"
+NAMES = tuple(f.split()[0] for f in _FIELDS.split(", "))
+
+
+def _judged(docs: DataFrame, langs: list[str], model: np.ndarray, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """Columns keep0, keep1 and so on, and the judgement under its own names."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
     kinds = dict(docs.dtypes)
 
     def run(slices):
         known, table = shared.value
         for rows in slices:
-            names, scores, strange = judge(rows["__text"], known, table)
-            yield {c: rows[c] for c in keep} | {"lang_pred": names, "score": scores, "background": strange}
+            found = judge(rows.pop("judged"), known, table)
+            yield rows | {
+                "lang_pred": [names[0] if names else UNDETERMINED for names, _, _ in found],
+                "score": [min(1.0, parts[0] / total) if (total := sum(parts)) > 0 else 0.0 for _, parts, _ in found],
+                "background": [background for _, _, background in found],
+                "languages": [names for names, _, _ in found],
+                "proportions": [parts for _, parts, _ in found],
+            }
+
+    renamed = docs.select(*(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)), F.col(text).alias("judged"))
+    schema = ", ".join([*(f"keep{i} {kinds[c]}" for i, c in enumerate(keep)), _FIELDS])
+    return arrow_map(renamed, run, schema, slice_rows=64)
+
+
+def identify(docs: DataFrame, langs: list[str], model: np.ndarray, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, then lang_pred, score, background, languages and proportions.
+
+    One pass, no shuffle; the model (about 0.5 MB a language) is broadcast. A kept column of one of these names gives way.
+    """
+    keep = tuple(c for c in keep if c not in NAMES)
+    judged = _judged(docs, langs, model, text, keep)
+    return judged.select(*(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)), *NAMES)
+
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double, background double"])
-    return arrow_map(docs.select(*keep, F.col(text).alias("__text")), run, schema, slice_rows=64)
+def in_known_language(docs: DataFrame, langs: list[str], model: np.ndarray, most_background: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are in a learned language but for ``most_background`` of their words."""
+    judged = _judged(docs, langs, model, text, tuple(docs.columns))
+    known = (F.col("lang_pred") != UNDETERMINED) & (F.col("background") <= most_background)
+    return judged.where(known).select(*(F.col(f"keep{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def fold(key: Column) -> Column:

@@ -52,7 +52,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs, model = langid.fit(docs.where(langid.fold(F.col("doc_id")) != 0))
     judged = langid.identify(docs.select("doc_id", "text"), langs, model)
     held_out = F.coalesce(langid.fold(F.col("doc_id")) == 0, F.lit(False))
-    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

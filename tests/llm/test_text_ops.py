@@ -1,9 +1,11 @@
 """Extraction, personal data, language, URL rules: edge cases and plain restatements."""
 
+import math
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pagemill.llm import html_density, langid, pii, url_rules
 from pyspark.sql import functions as F
@@ -202,15 +204,71 @@ def test_language(spark):
     langs, model = langid.fit(training(spark, rng))
     assert langs == ["de", "en", "fr"]
     mixed = SAMPLE["de"] + " " + SAMPLE["de"] + " " + SAMPLE["fr"]
-    names, scores, _ = langid.judge([SAMPLE["en"], mixed, None, "123 !?", ""], langs, model)
-    assert names == ["en", "de", "und", "und", "und"] and scores[2:] == [0, 0, 0]
-    assert scores[0] > 0.9 and 0.4 < scores[1] < 0.85
+    one, two, *none = langid.judge([SAMPLE["en"], mixed, None, "123 !?", ""], langs, model)
+    assert one[0] == ["en"] and two[0] == ["de", "fr"] and none == [([], [], 0.0)] * 3
+    assert one[1][0] > 0.9 and 0.4 < two[1][0] < 0.85
     long = (SAMPLE["fr"] + " ") * 20000
-    assert langid.judge([long], langs, model)[0] == ["fr"]
+    assert langid.judge([long], langs, model)[0][0] == ["fr"]
     rows = langid.identify(training(spark, rng).select("doc_id", "text"), langs, model)
     assert rows.where("lang_pred = 'en'").count() == 60
 
 
+def plain_judgement(text, langs, model, rounds=8):
+    """Expectation-maximisation and penalised selection for one text, from the definition."""
+    bins, first, _ = langid._trigrams(text)
+    words = np.split(bins, first[1:])
+    like = []
+    for word in words:
+        logs = [sum(model[b, c] for b in word) for c in range(len(langs) + 1)]
+        like.append([math.exp(x - max(logs)) for x in logs])
+
+    def fit(use, part):
+        for _ in range(rounds):
+            total = [0.0] * len(use)
+            for row in like:
+                mixed = [row[c] * p for c, p in zip(use, part)]
+                total = [t + x / sum(mixed) for t, x in zip(total, mixed)]
+            part = [t / len(like) for t in total]
+        return part
+
+    every = list(range(len(langs) + 1))
+    share = fit(every, [1 / len(every)] * len(every))
+    order, best = sorted(every[:-1], key=lambda c: (-share[c], c)), (-math.inf, None)
+    for k in range(1, len(langs) + 1):
+        use = [*order[:k], len(langs)]
+        part = [share[c] + 1e-6 for c in use]
+        part = fit(use, [p / sum(part) for p in part])
+        value = sum(math.log(sum(row[c] * p for c, p in zip(use, part))) for row in like) - k * math.log(len(like) + 1) / 2
+        if value <= best[0]:
+            break
+        best = value, dict(zip(use, part))
+    return {langs[c]: p for c, p in best[1].items() if c < len(langs)}, best[1][len(langs)]
+
+
+def test_language_sets_against_a_plain_restatement(spark):
+    rng = random.Random(3)
+    langs, model = langid.fit(training(spark, rng))
+    texts = []
+    for _ in range(40):
+        words = [w for lang in rng.sample(langs, rng.randint(1, 3)) for w in rng.choices(SAMPLE[lang].split(), k=rng.randint(1, 40))]
+        texts.append(" ".join(words + ["xqzk vvjw"] * rng.randint(0, 10)))
+    found = langid.judge(texts, langs, model)
+    assert {len(names) for names, _, _ in found} >= {1, 2}
+    for text, (names, parts, background) in zip(texts, found):
+        plain, rest = plain_judgement(text, langs, model)
+        assert dict(zip(names, parts)) == pytest.approx(plain, abs=1e-6) and background == pytest.approx(rest, abs=1e-6)
+
+
+def test_language_with_clashing_names(spark):
+    rng = random.Random(4)
+    langs, model = langid.fit(training(spark, rng))
+    rows = spark.createDataFrame([(1, SAMPLE["de"], 7, "x", 1, "k"), (None, None, 8, "y", 2, "k")], "doc_id long, text string, score int, lang_pred string, background int, keep0 string")
+    got = langid.identify(rows, langs, model, keep=tuple(rows.columns)).collect()
+    assert [(r.doc_id, r.lang_pred, r.keep0) for r in got] == [(1, "de", "k"), (None, "und", "k")]
+    known = langid.in_known_language(rows, langs, model, 0.9)
+    assert known.dtypes == rows.dtypes and [tuple(r) for r in known.collect()] == [(1, SAMPLE["de"], 7, "x", 1, "k")]
+
+
 def test_language_without_labels(spark):
     rows = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     langs, model = langid.fit(rows)
