@@ -44,6 +44,11 @@ def test_drop_repeats_edges(spark):
     rows = spark.createDataFrame([(None, line), (1, line), (2, line), (2, line)], schema)
     got = sorted((r[0] or 0, r[1]) for r in line_runs.drop_repeats(rows).select("doc_id", "`__n_dropped`").collect())
     assert got == [(0, 1), (1, 1), (2, 0), (2, 0)]
+    # Two documents hold the line, one of them in two rows.
+    again = line_runs.drop_repeats(rows.where("doc_id is not null").withColumns({"id": F.lit(1), "gone": F.lit("x"), "__kept": F.lit(3), "keep0": F.lit(4)}))
+    assert sorted((r.doc_id, r["__kept"], r["__n_dropped"], r.id, r.gone, r.keep0) for r in again.collect()) == [(1, line, 0, 1, "x", 4)] + [(2, line, 0, 1, "x", 4)] * 2
+    names = spark.createDataFrame([("b", line), ("a", line), ("c", line), ("c", "other")], "doc_id string, text string")
+    assert sorted((r.doc_id, r["__n_dropped"]) for r in line_runs.drop_repeats(names).collect()) == [("a", 1), ("b", 1), ("c", 0), ("c", 0)]
 
 
 def test_runs_compact_and_batches_drop_seen_lines(spark):
