@@ -115,11 +115,11 @@ def arrow_map(
     return map_batches(df, run, schema)
 
 
-def salted_join(many: DataFrame, few: DataFrame, on: str, by: str, salts: int = 16) -> DataFrame:
-    """Inner join on ``on``; rows of one key on the side of ``many`` are dealt to ``salts`` tasks by a hash of ``by``."""
+def salted_join(many: DataFrame, few: DataFrame, on: str | list[str], by: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join on ``on``; rows of one key on the side of ``many`` are dealt to ``salts`` tasks by a hash of ``by``."""
     dealt = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [on, "__salt"]).drop("__salt")
+    return dealt.join(copies, [*([on] if isinstance(on, str) else on), "__salt"], how).drop("__salt")
 
 
 def row_numbers() -> Iterator[int]:

@@ -1,12 +1,16 @@
 """Personal data: fixed shapes plus bootstrapped contextual extraction. DataFrame expressions only.
 
 Base spans come from four fixed patterns. They seed a pattern-instance graph: every seed, and every token that
-looks like an identifier but fits no fixed pattern, is an instance (so is a number written in groups); the words around it are its lexical patterns
-(word before and word after; the two words before). In each round a pattern's score is the mean score of its
-distinct instances, discounted when few distinct seeds support it, and an instance's score combines its patterns
-by noisy-or. Instances that end above ``accept`` in a pattern above ``trust`` become further spans of the
-pattern's kind. The graph has one edge per distinct (pattern, instance), so its size follows the number of
-identifier-like tokens, never their pairs.
+looks like an identifier but fits no fixed pattern, is an instance (so is a number written in groups); the words around
+it are its lexical patterns. Two are exact (word before and word after; the two words before), the others generalise
+them: the word before alone, the word before that with any word between, the word after alone. What has a fixed shape
+but failed its test (a card by its checksum, an address with parts above 255) is no instance.
+
+In each round a pattern's score is the mean score of its distinct instances, discounted when few distinct seeds support
+it (a general pattern needs ``GENERAL`` times the seeds of an exact one), and an instance's score combines its patterns
+by noisy-or. Instances that end above ``accept`` in a pattern above ``trust`` become further spans of the pattern's
+kind. The graph has one edge per distinct (pattern, instance), so its size follows the number of identifier-like
+tokens, never their pairs; patterns and instances of many edges are dealt to several tasks where they are joined.
 
 Positions without Python: the text is split at the matches, and lengths of pieces and matches add up to offsets
 (code points). Patterns are written so that Java's matcher neither recurses nor rescans a run of characters.
@@ -24,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import staged
+from pagemill.llm.common import salted_join, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Java forms of the four shapes. A start inside a run that would also match from the run's start is excluded
@@ -41,6 +45,8 @@ CANDIDATE = r"(?<!\S)(?=[^\s0-9@]{0,79}+[0-9@])\S{6,80}+(?!\S)"
 #: Maximal runs of digits with blanks and ().-/ between: numbers written in groups. Never fails once it has a digit.
 GROUPED = r"(?<![^\s\"'<\[{,;:])\(?[0-9](?:[().\x20/-]{0,3}+[0-9])++"
 LEFT, RIGHT = 80, 60
+#: How many times the seeds of an exact pattern a general one needs.
+GENERAL = 2
 #: Matches whose lengths are summed in one go; see located().
 BLOCK = 128
 
@@ -121,8 +127,8 @@ def _fits(kind: str, value: Column) -> Column:
     """Whether a token outside the fixed shapes can be an identifier of a kind at all."""
     return {
         "email": value.rlike(r"^[^@\s]+@[^@\s]+$"),
-        "ip": value.rlike(r"^[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){2,7}$|^[0-9]{1,3}(?:[.,][0-9]{1,3}){3}$"),
-        "card": value.rlike(r"^[0-9](?:[.\x20-]?[0-9]){12,18}$"),
+        "ip": value.rlike(r"^[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{0,4}){2,7}$") | (value.rlike(r"^[0-9]{1,3}(?:,[0-9]{1,3}){3}$") & _valid("ip", F.translate(value, ",", "."))),
+        "card": value.rlike(r"^[0-9](?:[./\x20-]?[0-9]){12,18}$") & luhn(digits(value)),
         "phone": value.rlike(r"^\(?[0-9](?:[().\x20/-]*[0-9]){6,14}$"),
     }[kind]
 
@@ -140,7 +146,7 @@ def _occurrences(rank: int, seed: bool) -> Callable[[Column], Column]:
 
 
 def _occurrence(span: Column, rank: int, seed: bool) -> Column:
-    """Instance with its two lexical patterns; digits in context words become 0."""
+    """Instance with its lexical patterns; digits in context words become 0."""
     word = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
     left = F.split(F.trim(F.regexp_replace(span["before"], r"\s+", " ")), " ", -1)
     right = F.element_at(F.split(F.trim(F.regexp_replace(span["after"], r"\s+", " ")), " ", -1), 1)
@@ -152,7 +158,11 @@ def _occurrence(span: Column, rank: int, seed: bool) -> Column:
         span["end"].alias("end"),
         F.lower(span["value"]).alias("value"),
         F.array(
-            F.concat_ws(" ", F.lit("LR"), word(one), F.lit("_"), word(right)), F.concat_ws(" ", F.lit("LL"), word(two), word(one), F.lit("_"))
+            F.concat_ws(" ", F.lit("LR"), word(one), F.lit("_"), word(right)),
+            F.concat_ws(" ", F.lit("LL"), word(two), word(one), F.lit("_")),
+            F.concat_ws(" ", F.lit("*L"), word(one), F.lit("_")),
+            F.concat_ws(" ", F.lit("*S"), word(two), F.lit("* _")),
+            F.concat_ws(" ", F.lit("*R _"), word(right)),
         ).alias("patterns"),
     )
 
@@ -203,16 +213,15 @@ def _candidates(text: Column) -> Column:
 def score_graph(edges: DataFrame, rounds: int, support: int) -> DataFrame:
     """Edges (kind, pattern, value, seed) with the scores of their pattern and instance after ``rounds`` rounds."""
     scores = edges.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    needed = F.when(F.col("pattern").startswith("*"), support * GENERAL).otherwise(support)
     for _ in range(rounds):
-        held = edges.join(scores, ["kind", "value"])
-        patterns = held.groupBy("kind", "pattern").agg(
-            (F.avg("score") * F.least(F.lit(1.0), F.sum(F.col("seed").cast("double")) / support)).alias("trust")
-        )
-        held = edges.join(patterns, ["kind", "pattern"])
+        held = salted_join(edges, scores, ["kind", "value"], "pattern")
+        patterns = held.groupBy("kind", "pattern").agg((F.avg("score") * F.least(F.lit(1.0), F.sum(F.col("seed").cast("double")) / F.first(needed))).alias("trust"))
+        held = salted_join(edges, patterns, ["kind", "pattern"], "value")
         scores = held.groupBy("kind", "value").agg(
             F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("score")
         )
-    return edges.join(patterns, ["kind", "pattern"]).join(scores, ["kind", "value"])
+    return salted_join(salted_join(edges, patterns, ["kind", "pattern"], "value"), scores, ["kind", "value"], "pattern")
 
 
 def find_personal_data(
@@ -230,7 +239,7 @@ def find_personal_data(
     good = score_graph(edges, rounds, support).where((~F.col("seed")) & (F.col("trust") >= trust) & (F.col("score") >= accept))
     good = staged(good.select("kind", "pattern", "value"), "pii-found")
     hits = seen.where(~F.col("seed")).select("key", "hash", "kind", "start", "end", "value", F.explode("patterns").alias("pattern"))
-    hits = hits.join(good, ["kind", "pattern", "value"], "left_semi")
+    hits = salted_join(hits, good, ["kind", "pattern", "value"], "hash", how="left_semi")
     hits = hits.groupBy(F.col("key").alias("k"), F.col("hash").alias("h")).agg(F.collect_set(F.struct("kind", "start", "end")).alias("found"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     joined = own.select("key", "hash", "base").join(hits, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left")

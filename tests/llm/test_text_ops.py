@@ -182,6 +182,43 @@ def test_contexts_discover_numbers_with_blanks(spark):
     assert got == sorted(numbers)
 
 
+def test_general_patterns_discover_what_exact_ones_miss(spark):
+    """Planted: eight seeds a cue in ever changing words; numbers beside the same cues, and as many beside other words."""
+    rng = random.Random(6)
+    filler = [f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    say = lambda n: " ".join(rng.choices(filler, k=n))
+    texts, planted = [], {}
+    for cue in ("tel", "mobile"):
+        texts += [f"{say(5)} {cue} +1 (415) 555-0{rng.randint(100, 999)} {say(4)}" for _ in range(8)]
+        for number in ("(415) 555-0177", "415 555 0188", "415-555-0199", "030/555.01.77"):
+            planted[len(texts)] = number
+            texts.append(f"{say(5)} {cue} {number} {say(4)}")
+    for number in ("415 555 0188", "415-555-0200", "2019 12 31 11", "4111 1111 1111 1112", "999.999.999.999"):
+        texts += [f"{say(5)} {number} {say(4)}"] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.found] for r in pii.find_personal_data(rows).collect() if r.found}
+    assert found == {i: [number] for i, number in planted.items()}  # recall and precision 1
+
+
+def test_scores_against_a_plain_restatement(spark):
+    rng = random.Random(7)
+    edges = {(rng.randrange(2), rng.choice(["LR a _ b", "LL c d _", "*L e _", "*R _ f"]), f"v{rng.randrange(12)}") for _ in range(70)}
+    seeds = {(k, f"v{i}") for k in range(2) for i in range(5)}
+    rows = spark.createDataFrame([(k, p, v, (k, v) in seeds) for k, p, v in edges], "kind int, pattern string, value string, seed boolean")
+    score, trust = {(k, v): float((k, v) in seeds) for k, _, v in edges}, {}
+    for _ in range(2):
+        for k, p in {e[:2] for e in edges}:
+            own = [v for kk, pp, v in edges if (kk, pp) == (k, p)]
+            needed = 3 * pii.GENERAL if p[0] == "*" else 3
+            trust[k, p] = sum(score[k, v] for v in own) / len(own) * min(1, sum((k, v) in seeds for v in own) / needed)
+        for k, v in score:
+            score[k, v] = 1.0 if (k, v) in seeds else 1 - math.prod(max(1e-9, 1 - trust[kk, p]) for kk, p, vv in edges if (kk, vv) == (k, v))
+    got = pii.score_graph(rows, 2, 3).collect()
+    assert len(got) == len(edges)
+    for r in got:
+        assert r.trust == pytest.approx(trust[r.kind, r.pattern]) and r.score == pytest.approx(score[r.kind, r.value])
+
+
 def test_personal_data_repeated_rows_and_empty_table(spark):
     rows = spark.createDataFrame([(1, "a@b.co"), (1, "a@b.co"), (None, "a@b.co")], "doc_id long, text string")
     assert pii.find_personal_data(rows).count() == 3
