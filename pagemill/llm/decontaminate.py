@@ -8,8 +8,8 @@ and an item that share a sketch hash, if the document is large enough for the it
 overlooked. Every candidate is then verified by exact containment of its shingles, compared as words.
 
 Items are a table, never gathered on the driver, and documents are read once however many items there are. What a
-pass over the documents needs of the items is a bitmap of their sketch hashes of at most ``MOST_BITS`` bits; it spares
-documents that meet no sketch the joins, and where it is too small for the items, only more rows reach the joins. Joins
+pass over the documents needs of the items is a Bloom filter of their sketch hashes of at most ``MOST_BITS`` bits; it
+spares documents that meet no sketch the joins, and where it is too small for the items, only more rows reach them. Joins
 between few rows and many are salted, so an item that a third of all documents hold gathers nowhere.
 
 Words are runs of letters, digits and underscores, lower-cased, so decorations between words do not hide a passage. An
@@ -38,8 +38,8 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Characters whose words are hashed at once.
 SEGMENT = 300_000
 MOST_BITS = 1 << 27
-#: Bits of the bitmap for each sketch hash, as long as ``MOST_BITS`` allows it.
-BITS = 64
+#: Bits of the filter for each sketch hash, as long as ``MOST_BITS`` allows it, and where in a hash its places start.
+BITS, PLACES = 64, (0, 12, 24, 36)
 #: Items that are verified at once against one document.
 GROUP = 256
 
@@ -147,16 +147,17 @@ def item_sketches(items: DataFrame, text: str, key: str, width: int, threshold:
 
 
 class Probe:
-    """What a pass over the documents knows of all sketches: widths, the largest hash, and a bitmap."""
+    """What a pass over the documents knows of all sketches: widths, the largest hash, and a Bloom filter."""
 
     def __init__(self, sketches: DataFrame):
         """``sketches``: (h, width) rows."""
         facts = sketches.agg(F.count("*"), F.collect_set("width"), F.max(_unsigned("h"))).first()
         self.widths: list[int] = sorted(facts[1])
         self.largest = np.uint64((facts[2] or 0) + (1 << 63))
-        bits = min(MOST_BITS, 1 << max(15, (BITS * facts[0]).bit_length()))
-        place = F.col("h").bitwiseAND(F.lit(bits - 1))
-        words = sketches.groupBy(F.shiftright(place, 15).alias("at")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+        bits = min(MOST_BITS, 1 << max(20, (BITS * facts[0]).bit_length()))
+        places = F.explode(F.array(*(F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(bits - 1)) for shift in PLACES)))
+        words = sketches.select(places.alias("place")).groupBy(F.shiftright("place", 15).alias("at"))
+        words = words.agg(F.bitmap_construct_agg(F.col("place").bitwiseAND(F.lit(32767))).alias("bits"))
         self.bitmap, self.mask = np.zeros(bits // 8, np.uint8), np.uint64(bits - 1)
         for row in words.toLocalIterator():  # at most MOST_BITS / 8 bytes in all
             self.bitmap[row["at"] * 4096 : (row["at"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
@@ -164,8 +165,10 @@ class Probe:
     def meets(self, hashes: np.ndarray) -> np.ndarray:
         """The distinct hashes of a document's sketch that some item's sketch may hold."""
         own = hashes[hashes <= self.largest]
-        at = own & self.mask
-        return np.unique(own[self.bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1])
+        for shift in PLACES:
+            at = own >> np.uint64(shift) & self.mask
+            own = own[self.bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
+        return np.unique(own)
 
 
 def _unsigned(name: str):
