@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +35,82 @@ def shingle_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, F.explode(char_shingles(normalise(F.col(text)))).alias("shingle"))
 
 
-def signatures(rows: DataFrame, key: str = "doc_id", permutations: int = 16) -> DataFrame:
-    """(key, signature) from shingle rows; minima are summed up before the shuffle."""
-    h = F.pmod(digest_hash(F.col("shingle")), F.lit(PRIME))
-    minima = [F.min((h * a + b) % PRIME).alias(f"m{i}") for i in range(permutations) for a, b in [permutation(i)]]
-    return rows.groupBy(key).agg(*minima).select(key, F.array(*[f"m{i}" for i in range(permutations)]).alias("signature"))
+def distinct_windows(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """Starts of the distinct runs of k characters, each once, in order of the runs' codes."""
+    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(codes) < k:
+        return np.empty(0, np.int64)
+    _, ranks = np.unique(codes, return_inverse=True)
+    base = int(ranks.max()) + 1
+    n, size, value = len(codes) - k + 1, base, ranks[: len(codes) - k + 1].astype(np.uint64)
+    for i in range(1, k):
+        if size * base >= 1 << 63:  # too many characters for one number: number the runs so far
+            _, value = np.unique(value, return_inverse=True)
+            value, size = value.astype(np.uint64), int(value.max()) + 1
+        value, size = value * np.uint64(base) + ranks[i : i + n].astype(np.uint64), size * base
+    return np.unique(value, return_index=True)[1]
+
+
+@lru_cache(4)
+def _factors(permutations: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.array([permutation(i) for i in range(permutations)], np.uint64).T
+    return a[:, None].copy(), b[:, None].copy()
+
+
+def minima(hashes: np.ndarray, permutations: int = PERMUTATIONS) -> list[int]:
+    """Smallest permuted value of 32-bit hashes, by permutation; the prime without hashes.
+
+    Blocks are small enough for the processor's cache. The prime is 2**31 - 1, so a remainder is a sum of bit fields.
+    """
+    a, b = _factors(permutations)
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    hashes, low = np.unique(hashes % prime), np.full(permutations, PRIME, np.uint64)
+    value, high = np.empty((permutations, 128), np.uint64), np.empty((permutations, 128), np.uint64)
+    for at in range(0, len(hashes), 128):
+        own = hashes[None, at : at + 128]
+        x, y = value[:, : own.shape[1]], high[:, : own.shape[1]]
+        np.multiply(a, own, out=x)
+        x += b
+        for _ in range(2):
+            np.right_shift(x, bits, out=y)
+            x &= prime
+            x += y
+        if (x >= prime).any():  # at most the prime and one more are left
+            x[x >= prime] -= prime
+        np.minimum(low, x.min(axis=1), out=low)
+    return low.astype(np.int64).tolist()
+
+
+def _digests(text: str) -> np.ndarray:
+    found = [hashlib.md5(text[i : i + SHINGLE].encode("utf-8", "surrogatepass")).digest()[:4] for i in distinct_windows(text).tolist()]
+    return np.frombuffer(b"".join(found), ">u4").astype(np.uint64)
+
+
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", permutations: int = PERMUTATIONS) -> DataFrame:
+    """(key, signature) of documents with a shingle: one Arrow pass from text to signature, no shuffle.
+
+    Signatures are over the md5 hashes of ``digest_hash``, which SQL can restate.
+    """
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = [(i, minima(own, permutations)) for i, text in enumerate(batch.column(1).to_pylist()) if len(own := _digests(text or ""))]
+            keys = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([own for _, own in found], pa.list_(pa.int64()))], [key, "signature"])
+
+    schema = f"{key} {dict(docs.dtypes)[key]}, signature array<bigint>"
+    return docs.select(key, normalise(F.col(text)).alias("text")).mapInArrow(run, schema)
+
+
+def shingle_count(text: Column) -> Column:
+    """Number of distinct shingles."""
+
+    @F.pandas_udf("bigint")
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([len(distinct_windows(t)) for t in column.fillna("")], dtype="int64")
+
+    return run(text)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -50,21 +125,14 @@ def same(a: Column, b: Column, threshold: float = 0.95) -> Column:
 
 def signature_of(text: str | None, permutations: int = PERMUTATIONS) -> list[int]:
     """Production signature: unsigned 32-bit xxHash of the shingles of a normalised text."""
-    shingles = {text[i : i + SHINGLE] for i in range(len(text or "") - SHINGLE + 1)}
-    if not shingles:
-        return [PRIME] * permutations
-    a, b = np.array([permutation(i) for i in range(permutations)], np.uint64).T
-    hashes = np.fromiter((xxhash.xxh32_intdigest(s) for s in shingles), np.uint64, len(shingles)) % np.uint64(PRIME)
-    low = np.full(permutations, PRIME, np.uint64)
-    for at in range(0, len(hashes), 4096):  # bounded memory for very long texts
-        low = np.minimum(low, ((a[:, None] * hashes[None, at : at + 4096] + b[:, None]) % np.uint64(PRIME)).min(axis=1))
-    return low.astype(np.int64).tolist()
+    found = [xxhash.xxh32_intdigest(text[i : i + SHINGLE].encode("utf-8", "surrogatepass")) for i in distinct_windows(text).tolist()]
+    return minima(np.array(found, np.uint64), permutations)
 
 
 def signature(text: Column, permutations: int = PERMUTATIONS) -> Column:
     @F.pandas_udf("array<bigint>")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: signature_of(t, permutations))
+        return pd.Series([signature_of(t, permutations) for t in column], dtype=object)
 
     return run(text)
 

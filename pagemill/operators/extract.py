@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import entities as ents
 from pagemill.operators import patterns as pats
-from pagemill.operators.tokens import whole_sentences, with_sections
+from pagemill.operators.tokens import whole_sentences
 
 # The rule packs for Czech policies (lemmas; ``*n`` is a gap), entity types, and names that are no party.
 CONTROLLER = ["správce *1 osobní údaj", "zpracování *1 osobní údaj", "souhlas *1 zpracování *1 osobní údaj *8 provozovatel"]
@@ -78,7 +78,7 @@ def lemmas(rules: list[str]) -> list[list[str]]:
 
 def _with_section(found: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
     """(key, pattern_id, hit, from_pos, to_pos): matches with the section that holds their start, if there is one."""
-    held = with_sections(tokens, key).where(F.col("sec_start").isNotNull())
+    held = tokens.where(F.col("sec_start").isNotNull())
     held = held.select(key, F.col("pos").alias("hit"), F.col("sec_start").alias("from_pos"), F.col("sec_end").alias("to_pos"))
     return found.select(key, "pattern_id", F.col("start").alias("hit")).join(held, [key, "hit"])
 
@@ -95,9 +95,9 @@ def controller(tokens: DataFrame, entities: DataFrame, rules: list[str] = CONTRO
     company. The company is the one nearest to the section's start, the address the one nearest to the company.
     """
     hits = _with_section(_found(tokens, rules, key, found), tokens, key).drop("pattern_id").distinct()
-    party = ents.closest(ents.in_ranges(entities, hits, PARTY_TYPES, NO_PARTY, key), "from_pos", [key, "hit"])
+    party = ents.closest(ents.in_sections(entities, hits, PARTY_TYPES, NO_PARTY, key), "from_pos", [key, "hit"])
     party = party.select(key, "hit", "from_pos", "to_pos", F.col("text").alias("company"), F.col("start").alias("company_start"), F.expr("(start + end) div 2").alias("middle"))
-    near = ents.closest(ents.in_ranges(entities, party, ADDRESS_TYPES, key=key), "middle", [key, "hit"])
+    near = ents.closest(ents.in_sections(entities, party, ADDRESS_TYPES, key=key), "middle", [key, "hit"])
     near = near.select(key, "hit", F.col("text").alias("address"), F.col("start").alias("address_start"))
     order = Window.partitionBy(key).orderBy(F.col("address").isNull(), "hit")
     picked = party.join(near, [key, "hit"], "left").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
@@ -110,7 +110,7 @@ def third_parties(tokens: DataFrame, entities: DataFrame, rules: list[str] = THI
     Hits come rule by rule; a text has the place of its last mention and the span of its first.
     """
     hits = _with_section(_found(tokens, rules, key, found), tokens, key)
-    rows = ents.in_ranges(entities, hits, PARTY_TYPES, NO_PARTY, key)
+    rows = ents.in_sections(entities, hits, PARTY_TYPES, NO_PARTY, key)
     place = F.struct("pattern_id", "hit", "start", "ent_type", "ne_id")
     rows = rows.groupBy(key, "text").agg(F.max(place).alias("last"), F.min_by("start", place).alias("start"))
     order = Window.partitionBy(key).orderBy("last")

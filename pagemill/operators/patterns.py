@@ -5,7 +5,8 @@ lemma without a gap before it must follow at once; the nearest next occurrence c
 ``sentence`` mode each next lemma may stand anywhere from the previous match on, up to a full stop.
 
 Each step joins the matches so far with the tokens of the next lemma only: an equi-join on the document with the
-distance as residual, and a minimum. Documents bound the join; lemma filters reach the token scan.
+distance as residual, and a minimum. Documents bound the join; lemma filters reach
+the token scan, so only tokens of a pattern's lemmas move.
 """
 
 from __future__ import annotations
@@ -39,10 +40,11 @@ def pack_matches(tokens: DataFrame, patterns: list[Pattern], mode: str = "strict
         raise ValueError(mode)
     steps = [_steps(p) for p in patterns]
     lemmas = sorted({lemma for own in steps for _, lemma, _ in own})
-    whole = Window.partitionBy(key)
-    stops = F.sum((F.col("lemma") == ".").cast("int")).over(whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    own = tokens.select(key, "pos", "lemma", F.max("pos").over(whole).alias("last"), (stops if mode == "sentence" else F.lit(0)).alias("stop"))
-    own = own.where(F.col("lemma").isin(lemmas))
+    if "last" not in tokens.columns:  # a token table of another origin
+        whole = Window.partitionBy(key)
+        stops = F.sum((F.col("lemma") == ".").cast("int")).over(whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+        tokens = tokens.withColumns({"last": F.max("pos").over(whole), "stop": stops if mode == "sentence" else F.lit(0)})
+    own = tokens.where(F.col("lemma").isin(lemmas)).select(key, "pos", "lemma", "last", ("stop" if mode == "sentence" else F.lit(0).alias("stop")))
     firsts = F.array(*[_struct(pattern_id=i, lemma=s[0][1], size=len(p)) for i, (p, s) in enumerate(zip(patterns, steps))])
     found = own.select("*", F.explode(F.filter(firsts, lambda f: f["lemma"] == F.col("lemma"))).alias("p"))
     found = found.where(F.col("pos") <= F.col("last") + 1 - F.col("p.size"))

@@ -145,23 +145,34 @@ def rationale_cache(spark, sf_dir):
     return cache.rationale_step(_pages(spark, sf_dir), _cached(spark, sf_dir), _rationales(spark, sf_dir))
 
 
-def _step_sql() -> str:
+def _step_sql(threshold: float) -> str:
     from pagemill.plans.text_queries import _BOTH, _EQUAL
 
     return f"""{_BOTH},
-        p AS (SELECT a.doc_id, d.lang IN ('en', 'fr') AS known, {_EQUAL} / 16 > 0.95 AS is_same
+        p AS (SELECT a.doc_id, d.lang IN ('en', 'fr') AS known, {_EQUAL} / {sim.PERMUTATIONS} > {threshold} AS is_same
               FROM a JOIN b USING (doc_id) JOIN documents d USING (doc_id))
         SELECT CAST(doc_id AS VARCHAR) AS url, CASE WHEN known AND is_same THEN 'hit' WHEN known THEN 'changed' ELSE 'miss' END AS action,
           NOT (known AND is_same) AS answer FROM p"""
 
 
-@query(_step_sql())
-def classify_cache_step(spark, sf_dir):
-    before, after = (sim.signatures(sim.shingle_rows(d)) for d in _versions(spark, sf_dir))
+def _step(spark, sf_dir, threshold):
+    before, after = map(sim.signatures, _versions(spark, sf_dir))
     known = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr")).select("doc_id")
     stored = before.join(known, "doc_id").select(F.col("doc_id").cast("string").alias("url"), "signature", F.lit(False).alias("is_advertisement"))
     asked = after.select(F.col("doc_id").cast("string").alias("url"), "signature", F.lit(True).alias("fresh"))
-    return cache.classify_step(asked, stored).select("url", "action", "answer")
+    return cache.classify_step(asked, stored, threshold).select("url", "action", "answer")
+
+
+@query(_step_sql(0.95))
+def classify_cache_step(spark, sf_dir):
+    """Advertisement cache: the same document from a similarity above 0.95 on."""
+    return _step(spark, sf_dir, 0.95)
+
+
+@query(_step_sql(0.99))
+def analysis_cache_step(spark, sf_dir):
+    """Analysis cache: the same with 0.99."""
+    return _step(spark, sf_dir, 0.99)
 
 
 @query()

@@ -8,7 +8,7 @@ from pagemill.functions import text as tx
 from pagemill.operators import rationales as rat
 from pagemill.operators import spans
 from pagemill.plans.registry import query, table
-from pagemill.plans.token_queries import SP, TOKENS, _extracted, _tokens
+from pagemill.plans.token_queries import SP, TOKENS, _annotated, _extracted, _tokens
 from pagemill.runtime import ship
 from pagemill.sources import html as src
 
@@ -41,7 +41,7 @@ def block_split(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, {_BLOCKS} SELECT doc_id, max(CASE WHEN z > 0 THEN 1 ELSE 0 END) >= 1 AS is_positive FROM lg GROUP BY doc_id")
 def page_any_positive(spark, sf_dir):
-    return rat.any_positive(rat.block_scores(_tokens(spark, sf_dir)))
+    return rat.any_positive(rat.block_scores(_annotated(spark, sf_dir)))
 
 
 @query(f"WITH {_ATTR} SELECT doc_id, block, pos, round(attr, 9) AS attr FROM att")
@@ -86,7 +86,7 @@ _HITS = "h AS (SELECT doc_id, sent_id, count(*) AS n, sum(CASE WHEN length(form)
         SELECT h.doc_id, sent_id FROM h JOIN k USING (doc_id) WHERE hits / n >= cut"""
 )
 def rationale_select(spark, sf_dir):
-    rows = _tokens(spark, sf_dir).groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"), F.sum((F.length("form") >= 8).cast("bigint")).alias("hits"))
+    rows = _annotated(spark, sf_dir).groupBy("doc_id", "sent_id").agg(F.count("*").alias("n"), F.sum((F.length("form") >= 8).cast("bigint")).alias("hits"))
     return rat.select_sentences(rows)
 
 

@@ -109,8 +109,8 @@ _HASH = "CAST('0x' || substr(md5(shingle), 1, 8) AS BIGINT)"
 
 @query(f"WITH {_SHINGLES} SELECT doc_id, count(*) AS n_shingles FROM sh GROUP BY doc_id")
 def shingle_count(spark, sf_dir):
-    shingles = tx.char_shingles(tx.normalise(F.col("text")))
-    counts = table(spark, sf_dir, "documents").select("doc_id", F.size(shingles).cast("bigint").alias("n_shingles"))
+    ship(spark)
+    counts = table(spark, sf_dir, "documents").select("doc_id", sim.shingle_count(tx.normalise(F.col("text"))).alias("n_shingles"))
     return counts.where("n_shingles > 0")
 
 
@@ -122,13 +122,13 @@ def shingle_hash(spark, sf_dir):
 
 
 def _signature_sql(source: str) -> str:
-    places = ", ".join(f"min((h * {a} + {b}) % {sim.PRIME})" for a, b in map(sim.permutation, range(16)))
+    places = ", ".join(f"min((h * {a} + {b}) % {sim.PRIME})" for a, b in map(sim.permutation, range(sim.PERMUTATIONS)))
     return f"SELECT doc_id, [{places}] AS signature FROM (SELECT doc_id, {_HASH} % {sim.PRIME} AS h FROM {source}) GROUP BY doc_id"
 
 
 @query(f"WITH {_SHINGLES}, sig AS ({_signature_sql('sh')}) SELECT doc_id, array_to_string(signature, ',') AS signature FROM sig")
 def minhash_signature(spark, sf_dir):
-    rows = sim.signatures(sim.shingle_rows(table(spark, sf_dir, "documents")))
+    rows = sim.signatures(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
@@ -145,20 +145,20 @@ _CHANGED = f"""w AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents
     zn AS (SELECT doc_id, regexp_replace(lower(text), '{SP}+', ' ', 'g') AS t FROM z),
     zh AS (SELECT DISTINCT doc_id, substr(t, i, 5) AS shingle FROM (SELECT doc_id, t, unnest(range(1, length(t) - 3)) AS i FROM zn WHERE length(t) >= 5))"""
 _BOTH = f"WITH {_SHINGLES}, {_CHANGED}, a AS ({_signature_sql('sh')}), b AS ({_signature_sql('zh')})"
-_EQUAL = "len(list_filter(range(1, 17), lambda i: a.signature[i] = b.signature[i]))"
+_EQUAL = f"len(list_filter(range(1, {sim.PERMUTATIONS + 1}), lambda i: a.signature[i] = b.signature[i]))"
 
 
 def _pairs(spark, sf_dir):
-    before, after = (sim.signatures(sim.shingle_rows(d)) for d in _versions(spark, sf_dir))
+    before, after = map(sim.signatures, _versions(spark, sf_dir))
     return before.join(after.withColumnRenamed("signature", "after"), "doc_id")
 
 
-@query(f"{_BOTH} SELECT doc_id, {_EQUAL} / 16 AS jaccard FROM a JOIN b USING (doc_id)")
+@query(f"{_BOTH} SELECT doc_id, {_EQUAL} / {sim.PERMUTATIONS} AS jaccard FROM a JOIN b USING (doc_id)")
 def minhash_jaccard(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", sim.estimate(F.col("signature"), F.col("after")).alias("jaccard"))
 
 
-@query(f"{_BOTH} SELECT doc_id, {_EQUAL} / 16 > 0.95 AS is_same FROM a JOIN b USING (doc_id)")
+@query(f"{_BOTH} SELECT doc_id, {_EQUAL} / {sim.PERMUTATIONS} > 0.95 AS is_same FROM a JOIN b USING (doc_id)")
 def same_document(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", sim.same(F.col("signature"), F.col("after")).alias("is_same"))
 

@@ -13,6 +13,7 @@ from pagemill.functions.text import host_of
 from pagemill.functions.text import tokens as token_list
 from pagemill.operators import entities, extract, patterns, tokens
 from pagemill.plans.registry import query, table
+from pagemill.runtime import staged
 from pagemill.sources import files
 from pagemill.sources import html as src
 
@@ -51,9 +52,15 @@ CATEGORIES = {"first": "that", "second": "with the", "third": "les"}
 STARTS = ["the", "of", "de"]
 
 
+def _annotated(spark, sf_dir):
+    """Token rows for queries that read them once."""
+    docs = table(spark, sf_dir, "documents")
+    return tokens.annotate(docs.select("doc_id", tokens.line_elements(F.col("text")).alias("elements")))
+
+
 def _tokens(spark, sf_dir):
-    """Token rows; several steps of a query read them, so they are kept."""
-    return tokens.annotate(tokens.element_rows(table(spark, sf_dir, "documents"))).persist()
+    """Token rows for queries that read them in several steps: a staged table, marked entities included."""
+    return staged(_marked(_annotated(spark, sf_dir)), "tokens")
 
 
 def _marked(rows):
@@ -69,7 +76,7 @@ def _marked(rows):
 
 
 def _entities(rows):
-    return entities.groups(_marked(rows))
+    return entities.groups(rows)
 
 
 def _steps_sql(name: str, pattern: str, mode: str = "strict") -> str:
@@ -111,19 +118,19 @@ def _sentences_sql(name: str, pack: str) -> str:
 
 @query(f"WITH {TOKENS} SELECT doc_id, pos, elem_id, tag, sent_id, form, lemma FROM tok")
 def token_table(spark, sf_dir):
-    return _tokens(spark, sf_dir)
+    return _annotated(spark, sf_dir).select("doc_id", "pos", "elem_id", "tag", "sent_id", "form", "lemma")
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, sent_id, pos, form, lemma, CASE WHEN form = '.' THEN 'No' END AS space_after FROM tok")
 def conllu_parse(spark, sf_dir):
     """Tokens written as CoNLL-U and parsed again."""
-    rows = _tokens(spark, sf_dir).withColumn("misc", F.when(F.col("form") == ".", "SpaceAfter=No").otherwise("_"))
+    rows = _annotated(spark, sf_dir).withColumn("misc", F.when(F.col("form") == ".", "SpaceAfter=No").otherwise("_"))
     return files.parse_conllu(files.to_conllu(rows)).select("doc_id", "sent_id", "pos", "form", "lemma", "space_after")
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) || ' ' AS lemmas FROM tok GROUP BY doc_id")
 def lemma_text(spark, sf_dir):
-    return files.lemma_text(_tokens(spark, sf_dir))
+    return files.lemma_text(_annotated(spark, sf_dir))
 
 
 @query(
@@ -131,26 +138,32 @@ def lemma_text(spark, sf_dir):
         FROM tok GROUP BY doc_id"""
 )
 def detokenize(spark, sf_dir):
-    rows = _tokens(spark, sf_dir).withColumns({"space_after": F.when(F.col("tag") == "h1", "No"), "spaces_after": F.when(F.col("form") == ".", r"\n")})
+    rows = _annotated(spark, sf_dir).withColumns({"space_after": F.when(F.col("tag") == "h1", "No"), "spaces_after": F.when(F.col("form") == ".", r"\n")})
     return tokens.detokenise(rows)
 
 
 @query(f"WITH {TOKENS}, {SECTIONS} SELECT doc_id, sec_start, sec_end FROM sec")
 def section_ranges(spark, sf_dir):
-    return tokens.section_ranges(_tokens(spark, sf_dir))
+    return tokens.section_ranges(_annotated(spark, sf_dir))
 
 
 @query(f"WITH {TOKENS}, {SECTIONS} SELECT t.doc_id, pos, sec_start, sec_end FROM tok t LEFT JOIN sec s ON t.doc_id = s.doc_id AND pos >= sec_start AND pos < sec_end")
 def section_of_token(spark, sf_dir):
-    return tokens.with_sections(_tokens(spark, sf_dir)).select("doc_id", "pos", "sec_start", "sec_end")
+    return _annotated(spark, sf_dir).select("doc_id", "pos", "sec_start", "sec_end")
 
 
 @query(
-    f"""WITH {TOKENS} SELECT a.doc_id, a.pos AS "start" FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
-        WHERE a.lemma = 'of' AND b.lemma = 'the' AND a.pos + 2 <= a.last"""
+    f"""WITH {TOKENS} SELECT doc_id, pos AS "start" FROM (SELECT doc_id, pos, last, lemma, lead(lemma) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM tok)
+        WHERE lemma = 'of' AND nxt = 'the' AND pos + 2 <= last"""
 )
 def ngram_exact(spark, sf_dir):
-    return tokens.ngram_starts(_tokens(spark, sf_dir), ["of", "the"])
+    return tokens.ngram_starts(_annotated(spark, sf_dir), ["of", "the"])
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, string_agg(form || '/' || elem_id, ' ' ORDER BY pos) AS pairs FROM tok GROUP BY doc_id")
+def tokens_with_tags(spark, sf_dir):
+    rows = tokens.tokens_with_tags(_annotated(spark, sf_dir))
+    return rows.select("doc_id", F.array_join(F.transform("pairs", lambda p: F.concat_ws("/", p["form"], p["elem_id"].cast("string"))), " ").alias("pairs"))
 
 
 @query(f"WITH {TOKENS}, {_steps_sql('f', 'the *2 of *3 and')} SELECT * FROM f")
@@ -176,7 +189,7 @@ def whole_sentence(spark, sf_dir):
 
 @query(f'WITH {TOKENS}, {ENTITIES} SELECT doc_id, ent_type, ne_id, elem_id, "start", "end", text FROM ent')
 def entity_groups(spark, sf_dir):
-    return _entities(_tokens(spark, sf_dir))
+    return _entities(_marked(_annotated(spark, sf_dir))).drop("sec_start")
 
 
 @query(
@@ -207,7 +220,7 @@ def closest_entity(spark, sf_dir):
 def entity_json_roundtrip(spark, sf_dir):
     """Entities of a document as one JSON text and back."""
     kinds = "array<struct<ent_type:string,ne_id:string,elem_id:int,start:int,end:int,text:string>>"
-    found = _entities(_tokens(spark, sf_dir)).where("ent_type = 'io'")
+    found = _entities(_marked(_annotated(spark, sf_dir))).where("ent_type = 'io'")
     fields = F.struct("ent_type", "ne_id", "elem_id", "start", "end", "text")
     encoded = found.groupBy("doc_id").agg(F.to_json(F.collect_list(fields)).alias("json"))
     return encoded.select("doc_id", F.explode(F.from_json("json", kinds)).alias("e")).select("doc_id", "e.*")
@@ -317,9 +330,9 @@ def coverage_report(spark, sf_dir):
 @query()
 def extract_pages(spark, sf_dir):
     """Raw pages to extractions: parse, annotate, all packs."""
-    elements = src.with_elements(table(spark, sf_dir, "pages").select("url", "html"))
-    rows = tokens.annotate(elements, "url").persist()
-    found = entities.groups(_marked(rows), "url")
+    pages = table(spark, sf_dir, "pages").select("url", src.elements(F.col("html")).alias("elements"))
+    rows = staged(_marked(tokens.annotate(pages, "url")), "page-tokens")
+    found = entities.groups(rows, "url")
     return extract.extractions(
         rows, found, "url", CONTROLLER, THIRD, DURATION, SENTENCES[:1], SENTENCES[1:2], SENTENCES[2:], STARTS, CATEGORIES, tuple(_UNIT), "the"
     )

@@ -1,12 +1,13 @@
-"""Makes the package importable in Python workers, however the session was started."""
+"""The package in Python workers, and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,52 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(root)))
     context.addPyFile(path)
     _shipped.add(context.applicationId)
+
+
+def staging_root(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a single-machine session (tests) gets a temporary one; on a cluster that would scatter the
+    rows over the executors' disks, so it is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="pagemill-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{staging_root(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark, schema = df.sparkSession, df.schema
+    path = staging_path(spark, name)
+    writer = df.write.option("compression", "zstd")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later result reads."""
+    for one in tables:
+        if path := one.__dict__.get("staged_path"):
+            files, place = _files(one.sparkSession, path)
+            files.delete(place, True)

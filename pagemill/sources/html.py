@@ -103,12 +103,16 @@ def _udf(function, kind):
     return run
 
 
+def elements(html: Column) -> Column:
+    """Block elements as array<struct<elem_id, tag, text>>, in document order."""
+    return _udf(elements_of, "array<struct<elem_id:int,tag:string,text:string>>")(html)
+
+
 def with_elements(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row a block element: the other columns, elem_id (dense, in document order), tag, text."""
     ship(pages.sparkSession)
-    parse = _udf(elements_of, "array<struct<elem_id:int,tag:string,text:string>>")
     rest = [c for c in pages.columns if c != html]
-    return pages.select(*rest, F.explode(parse(html)).alias("e")).select(*rest, "e.elem_id", "e.tag", "e.text")
+    return pages.select(*rest, F.explode(elements(F.col(html))).alias("e")).select(*rest, "e.elem_id", "e.tag", "e.text")
 
 
 def paragraph_text(html: Column) -> Column:

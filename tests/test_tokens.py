@@ -65,9 +65,37 @@ def test_no_going_back(spark):
     assert patterns.matches(token_rows(spark, {1: words}), ["a", "*2", "b", "c"]).count() == 0
 
 
+ELEMENTS = "doc_id int, elements array<struct<elem_id:int,tag:string,text:string>>"
+
+
+def test_annotation_agrees_with_windows(spark):
+    rng = random.Random(5)
+    docs = [(i, [(e, rng.choice(["p", "h1", "li", None]), " ".join(rng.choices(["a", ".", "b!", "", "Č"], k=rng.randint(0, 6)))) for e in range(rng.randint(0, 8))]) for i in range(40)]
+    rows = tokens.annotate(spark.createDataFrame(docs, ELEMENTS)).persist()
+    ranges = tokens.with_sections(rows.drop("sec_start", "sec_end"))
+    fields = ("doc_id", "pos", "sec_start", "sec_end")
+    assert sorted(map(str, rows.select(*fields).collect())) == sorted(map(str, ranges.select(*fields).collect()))
+    for pattern, mode in ((["a", "*2", "b"], "strict"), (["a", "b"], "sentence")):
+        own = patterns.matches(rows, pattern, mode).collect()
+        assert sorted(own) == sorted(patterns.matches(rows.drop("last", "stop"), pattern, mode).collect())
+    rows.unpersist()
+
+
+def upper_annotator():
+    made.append(1)
+    return lambda texts: [([t.upper()], [t], ["if_1"]) for t in texts]
+
+
+made = []
+
+
+def test_annotators_are_made_once_and_asked_once_a_text(spark):
+    rows = tokens.annotate(spark.createDataFrame([(1, [(0, "p", "x"), (1, "p", "x")]), (2, [(0, "p", "y")])], ELEMENTS), factory=upper_annotator)
+    assert sorted((r.doc_id, r.form, r.lemma, r.ne, r.tag) for r in rows.collect()) == [(1, "X", "x", "if_1", "p")] * 2 + [(2, "Y", "y", "if_1", "p")]
+
+
 def test_sections(spark):
-    elements = spark.createDataFrame([(1, 0, "p", "x y"), (1, 1, "h2", "t u"), (1, 2, "p", "v w .")], "doc_id int, elem_id int, tag string, text string")
-    rows = tokens.annotate(elements)
+    rows = tokens.annotate(spark.createDataFrame([(1, [(0, "p", "x y"), (1, "h2", "t u"), (2, "p", "v w .")]), (2, None), (None, [(0, "p", None)])], ELEMENTS))
     assert sorted((r.sec_start, r.sec_end) for r in tokens.section_ranges(rows).collect()) == [(0, 2), (2, 6)]
     held = {r.pos: r.sec_start for r in tokens.with_sections(rows).collect()}
     assert held == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 2, 6: None}
@@ -88,11 +116,14 @@ def test_entities(spark):
     assert entities.in_ranges(found, ranges, ["if"], [" firma S.R.O.".strip()]).count() == 0
 
 
+ENTITIES = "doc_id int, ent_type string, ne_id string, elem_id int, start int, end int, text string, sec_start int"
+
+
 def policy(spark, text, names=()):
     words = text.split()
-    rows = token_rows(spark, {1: words})
-    marks = [(1, kind, str(i), 0, words.index(w), words.index(w), w) for i, (kind, w) in enumerate(names)]
-    return rows, spark.createDataFrame(marks, "doc_id int, ent_type string, ne_id string, elem_id int, start int, end int, text string")
+    rows = tokens.with_sections(token_rows(spark, {1: words}))
+    marks = [(1, kind, str(i), 0, words.index(w), words.index(w), w, 0) for i, (kind, w) in enumerate(names)]
+    return rows, spark.createDataFrame(marks, ENTITIES)
 
 
 def test_controller_and_duration(spark):
@@ -116,9 +147,8 @@ def test_company_without_address_then_with(spark):
 
 def test_third_parties_keep_place_of_last_and_span_of_first(spark):
     words = "předávat osobní údaj Alfa Beta Alfa konec".split()
-    rows = token_rows(spark, {1: words})
-    marks = [(1, "if", str(i), 0, p, p, words[p]) for i, p in enumerate((3, 4, 5))]
-    found = spark.createDataFrame(marks, "doc_id int, ent_type string, ne_id string, elem_id int, start int, end int, text string")
+    rows = tokens.with_sections(token_rows(spark, {1: words}))
+    found = spark.createDataFrame([(1, "if", str(i), 0, p, p, words[p], 0) for i, p in enumerate((3, 4, 5))], ENTITIES)
     assert [(r.text, r.start) for r in extract.third_parties(rows, found).orderBy("ord").collect()] == [("Beta", 4), ("Alfa", 3)]
 
 
