@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -12,60 +10,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.runtime import ship
-
-BATCH_ROWS = 1000
-
-
-def staging_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a single-machine session (tests) gets a temporary one; on a cluster that would scatter the
-    rows over the executors' disks, so it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="pagemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from pagemill.runtime import discard, ship, staged, staging_path
 
+__all__ = ["arrow_map", "arrow_schema", "discard", "free_name", "map_batches", "row_numbers", "salted_join", "small_batches", "staged", "staging_path", "table"]
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
-
-
-def staging_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends."""
-    path = f"{staging_root(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
-    files, place = _files(spark, path)
-    files.deleteOnExit(place)
-    return path
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that no later result reads."""
-    for one in tables:
-        if path := one.__dict__.get("staged_path"):
-            files, place = _files(one.sparkSession, path)
-            files.delete(place, True)
+BATCH_ROWS = 1000
 
 
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = staging_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    schema = df.schema
-    writer.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out.staged_path = path
-    return out
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def arrow_schema(schema: str) -> pa.Schema:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_map, staged
+from pagemill.llm.common import arrow_map, discard, salted_join, staged
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -46,17 +46,20 @@ def _forest(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge (``a``, ``b`` longs); root is the component's smallest node.
 
-    Hubs are safe: neighbour minima are summed up before the shuffle, and the join back may be split by Spark.
+    Hubs are safe: neighbour minima are summed up before the shuffle, and a hub's edges are dealt to several tasks in
+    the join back.
     """
     now = staged(_forest(edges.where("a <> b")).distinct(), "edges")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        large = salted_join(both.where("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
+        small = salted_join(large, low, "a", "b")
+        before = now
         now = staged(small.select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == mark:
             break

@@ -3,8 +3,10 @@
 A fingerprint has eight bytes. Two fingerprints that differ in at most four bits share at least four bytes in
 place: that is the guaranteed minimum of matches. Postings of one (position, byte) would hold 1/256 of all
 fingerprints each, so the tally would grow with the square of the input; the index is therefore kept on triples of
-positions, chosen so that every four positions hold one of them (20 of 56 triples do). Within a posting the shared
-positional bytes of pairs are tallied, pairs that reach the minimum are kept and verified by their bit distance.
+positions, chosen so that every four positions hold one of them (20 of 56 triples do). Within a posting, pairs need one
+more shared byte to reach the minimum: a large posting is grouped by each further positional byte, and only members of
+one group are compared, so comparisons are those of an index on four bytes. What reaches the minimum is verified by its
+bit distance.
 
 Equal fingerprints are one node, so copies never make pairs. A posting returns pairs that span its linked groups
 rather than all pairs; which documents are connected is the same. Postings above ``block`` members are split into
@@ -17,6 +19,7 @@ ignored; texts of fewer words than a shingle count as one shingle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_map, staged
+from pagemill.llm.common import arrow_map, free_name, salted_join, staged
 from pagemill.llm.graph import components, spanning_pairs
 
 #: Every four of eight positions hold one of these triples (three groups; within a group, or two and one of the next).
@@ -44,6 +47,8 @@ def _triples() -> list[tuple[int, int, int]]:
 
 
 TRIPLES = _triples()
+#: Postings up to this size are compared directly.
+SMALL = 64
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -84,6 +89,22 @@ def _postings(prints: DataFrame) -> DataFrame:
     return prints.select("fp", F.explode(F.array(*keys)).alias("posting"))
 
 
+def _tallied(prints: np.ndarray, triple: tuple[int, ...], shared: int) -> Iterator[np.ndarray]:
+    """Groups of a posting's members in which every pair shares a further positional byte; small postings as they are.
+
+    Members already share the bytes of ``triple``: the group adds the byte that the minimum of ``shared`` needs.
+    """
+    if len(prints) <= SMALL or shared <= len(triple):
+        yield prints
+        return
+    for position in set(range(8)) - set(triple):
+        value = prints >> np.uint64(8 * position) & np.uint64(255)
+        order = np.argsort(value, kind="stable")
+        for members in np.split(prints[order], np.flatnonzero(np.diff(value[order])) + 1):
+            if len(members) > 1:
+                yield members
+
+
 def _linked(postings: DataFrame, distance: int, shared: int) -> DataFrame:
     """Spanning pairs of each posting; rows come sorted by (posting, part), a posting part may cross Arrow slices."""
 
@@ -101,9 +122,10 @@ def _linked(postings: DataFrame, distance: int, shared: int) -> DataFrame:
             out_b.append(b)
             for first, size in zip(firsts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 own = np.unique(prints[first : first + size])
-                i, j = spanning_pairs(own, distance)
-                out_a.append(own[i])
-                out_b.append(own[j])
+                for members in _tallied(own, TRIPLES[int(keys[first, 0]) >> 24], shared):
+                    i, j = spanning_pairs(members, distance)
+                    out_a.append(members[i])
+                    out_b.append(members[j])
             a, b = np.concatenate(out_a), np.concatenate(out_b)
             same = (a ^ b).view(np.uint8).reshape(-1, 8) == 0
             near = (same.sum(axis=1) >= shared) & (np.bitwise_count(a ^ b) <= distance) & (a != b)
@@ -158,7 +180,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     classes = staged(_classes(rows, distance).join(lows, "fp"), "simhash-classes")
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = classes.join(lows, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return rows.join(classes, F.col("fp") == F.col("__fp")).select(F.col("id").alias(key), "fp", "component_id")
+    return salted_join(rows, classes.withColumnRenamed("__fp", "fp"), "fp", "id").select(F.col("id").alias(key), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, distance: int = 4) -> DataFrame:
@@ -167,7 +189,8 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
     The rows to drop are few beside the table, so they are what is joined; texts move only if Spark finds the drop
     list too large to broadcast.
     """
-    hashed = docs.withColumn("__hash", F.xxhash64(text))
+    name_of_hash = free_name(docs, "__hash")
+    hashed = docs.withColumn(name_of_hash, F.xxhash64(text))
     kind = dict(docs.dtypes)[key]
 
     def run(slices):
@@ -175,16 +198,16 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
             found = [fingerprint(t, words) for t in rows["text"]]
             yield {"id": rows["id"], "hash": rows["hash"], "fp": [f - (1 << 64) if f >> 63 else f for f in found]}
 
-    base = hashed.select(F.col(key).alias("id"), F.col("__hash").alias("hash"), F.col(text).alias("text"))
+    base = hashed.select(F.col(key).alias("id"), F.col(name_of_hash).alias("hash"), F.col(text).alias("text"))
     rows = staged(arrow_map(base, run, f"id {kind}, hash bigint, fp bigint", 64), "simhash")
     name = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     tops = rows.groupBy("fp").agg(F.min(name).alias("top"))
     classes = staged(_classes(rows, distance).join(tops, "fp"), "simhash-classes")
     stay = classes.groupBy("root").agg(F.min("top").alias("stay"))
     classes = classes.join(stay, "root").select(F.col("fp").alias("__fp"), "stay")
-    gone = rows.join(classes, F.col("fp") == F.col("__fp")).where(~F.struct("id", "hash").eqNullSafe(F.struct("stay.id", "stay.hash")))
-    gone = staged(gone.select(F.col("id").alias("__id"), F.col("hash").alias("__gone")).distinct(), "simhash-gone")
-    kept = hashed.join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__gone")), "left_anti").drop("__hash")
+    gone = salted_join(rows, classes.withColumnRenamed("__fp", "fp"), "fp", "hash").where(~F.struct("id", "hash").eqNullSafe(F.struct("stay.id", "stay.hash")))
+    gone = staged(gone.select("id", "hash").distinct(), "gone")
+    kept = hashed.join(gone, hashed[key].eqNullSafe(gone["id"]) & (hashed[name_of_hash] == gone["hash"]), "left_anti").drop(name_of_hash)
     if not rows.groupBy("id", "hash").count().where("count > 1").isEmpty():  # whole rows repeat
         kept = kept.dropDuplicates([key, text])
     return kept

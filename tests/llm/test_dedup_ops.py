@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
-from pagemill.llm import decontaminate, graph, line_runs, simhash
+from pagemill.llm import decontaminate, graph, jaccard, line_runs, simhash
 from pyspark.sql import functions as F
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -215,3 +215,22 @@ def test_clashing_names(spark):
     assert [r.doc_id for r in decontaminate.find_contaminated(frame, bench).collect()] == [1]
     kept = decontaminate.without_contaminated(frame, bench)
     assert kept.columns == frame.columns and kept.count() == 0
+
+
+def test_large_postings_are_grouped_by_a_fourth_byte(monkeypatch):
+    rng = np.random.default_rng(4)
+    prints = np.unique(rng.integers(0, 1 << 64, 300, np.uint64) & ~np.uint64(0xFFFFFF) | np.uint64(0x123456))
+    flips = prints[rng.integers(0, len(prints), 60)] ^ (np.uint64(1) << rng.integers(24, 64, 60).astype(np.uint64))
+    prints = np.unique(np.concatenate([prints, flips]))
+    groups = list(simhash._tallied(prints, (0, 1, 2), 4))
+    assert sum(len(g) ** 2 for g in groups) < len(prints) ** 2 / 10
+    near = {(a, b) for i, a in enumerate(prints.tolist()) for b in prints.tolist()[i + 1 :] if (a ^ b).bit_count() <= 4}
+    assert near and all(any(a in g and b in g for g in map(set, (g.tolist() for g in groups))) for a, b in near)
+
+
+def test_one_of_each_with_clashing_names(spark):
+    names = "doc_id long, text string, __hash int, hash int, id int, fp int, __fp int"
+    rows = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in ((2, "a b c d e f"), (1, "A b  c d e f"), (3, None), (None, "x"), (4, ""))], names)
+    for one_of_each in (simhash.one_of_each, jaccard.one_of_each):
+        kept = one_of_each(rows)
+        assert kept.columns == rows.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
