@@ -16,6 +16,7 @@ URL_RULES = [
     url_rules.UrlRule("allow", "org/fr/"),
     url_rules.UrlRule("block", "||spam-farm.", pattern=True),
     url_rules.UrlRule("block", "||cheap-pills.", pattern=True),
+    *(url_rules.UrlRule("block", f"||{name}{n}.", pattern=True) for name in ("adserver", "tracker") for n in range(100)),
 ]
 
 
@@ -157,6 +158,6 @@ ORACLE_SQL = {
           FROM sites JOIN (SELECT *, substr(rule, 1, position('/' IN rule) - 1) AS h, substr(rule, position('/' IN rule)) AS p FROM rules)
             ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
         SELECT s.page_id, host, path, rule,
-               coalesce(verdict, CASE WHEN regexp_matches(low, '^[^:/?#]*://([^/?#]*\\.)?(spam-farm|cheap-pills)\\.') THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(verdict, CASE WHEN regexp_matches(low, '^[^:/?#]*://([^/?#]*\\.)?(spam-farm|cheap-pills|(adserver|tracker)([1-9][0-9]|[0-9]))\\.') THEN 'block' ELSE 'allow' END) AS verdict
         FROM sites s LEFT JOIN fits USING (page_id)""",
 }

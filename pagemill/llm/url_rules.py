@@ -6,13 +6,15 @@ Every rule is filed under one of its literal tokens: the one that the fewest URL
 the whole table. A URL's own tokens fetch the rules filed under them, and only these run their regular expression.
 Rules without a whole token are tried on every URL.
 
-The index is a constant inside the plan (hashed buckets, so a fetch costs the same for few and many rules); its
-size is checked against ``MAX_INLINE_RULES``. No row leaves its partition, so hot hosts cannot skew anything; the
-only exchange is the token count, which is summed before it moves.
+Up to ``MAX_INLINE_RULES`` rules the index is a constant inside the plan (hashed buckets, so a fetch costs the same for
+few and many rules): no row leaves its partition, so hot hosts cannot skew anything; the only exchange is the token
+count, which is summed before it moves. Larger lists are a table that the URLs' tokens are joined with, rows of one
+token dealt to several tasks; the verdicts are the same.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path, fit no ``host/path`` rule and get the
 default verdict unless a pattern fits; repeated rows are judged alike; among fitting rules of a class the longest
-wins, equal lengths go to the lexically smallest; ``host/path`` rules go before patterns.
+wins, equal lengths go to the lexically smallest; ``host/path`` rules go before patterns; kept columns named like a
+result give way to it.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import salted_join, staged
+
 MAX_INLINE_RULES = 50_000
+RESULTS = ("host", "path", "rule", "verdict", "pattern")
 _ENTRY = "token string, rule string, regex string, rank int, len int, verdict string"
 
 
@@ -101,47 +106,73 @@ def judge_urls(
     pages: DataFrame, rules: list[UrlRule], default: str = "allow", url: str = "url", keep: tuple[str, ...] = ("page_id",)
 ) -> DataFrame:
     """Columns ``keep``, host, path, rule (the host/path rule that decides, else null), pattern (likewise), verdict."""
-    if len(rules) > MAX_INLINE_RULES:
-        raise ValueError(f"{len(rules)} rules; the index holds {MAX_INLINE_RULES}. Apply them in several lists.")
     if len({r.text for r in rules}) != len(rules):
         raise ValueError("two rules have the same text")
-    counts = token_counts(pages, sorted({t for r in rules for t in r.tokens}), url)
-    buckets: list[list[dict]] = [[] for _ in range(1 << max(2, len(rules).bit_length()))]
-    always = []
+    keep = tuple(c for c in keep if c not in RESULTS)
+    held = pages.select(*(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)), F.col(url).alias("url"))
+    held = held.select("*", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
+    held = held.withColumn("site", F.concat("host", "path")).withColumn("low", ascii_lower(F.col("url")))
+    entries = _filed(pages, rules, url)
+    held = _best_inline(held, entries) if len(rules) <= MAX_INLINE_RULES else _best_joined(held, entries)
+    best = F.col("best")
+    return held.select(
+        *(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)),
+        "host",
+        "path",
+        F.when(best["rank"] == -1, best["rule"]).alias("rule"),
+        F.coalesce(best["verdict"], F.lit(default)).alias("verdict"),
+        F.when(best["rank"] == 0, best["rule"]).alias("pattern"),
+    )
+
+
+def _filed(pages: DataFrame, rules: list[UrlRule], url: str) -> list[dict]:
+    """One entry a rule, under its rarest token; without a whole token under the empty one."""
+    counts, entries = token_counts(pages, sorted({t for r in rules for t in r.tokens}), url), []
     for rule in sorted(rules, key=lambda r: r.text):
-        entry = {"rule": rule.text, "regex": rule.regex, "rank": int(not rule.pattern), "len": len(rule.text), "verdict": rule.verdict}
-        if tokens := rule.tokens:
-            rarest = min(tokens, key=lambda t: (counts.get(t, 0), -len(t), t))
-            buckets[_bucket(rarest, len(buckets))].append({"token": rarest} | entry)
-        else:
-            always.append({"token": ""} | entry)
+        rarest = min(rule.tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default="")
+        entries.append({"token": rarest, "rule": rule.text, "regex": rule.regex, "rank": int(not rule.pattern), "len": len(rule.text), "verdict": rule.verdict})
+    return entries
+
+
+def _fits(entry: Column) -> Column:
+    return F.coalesce(F.regexp_like(F.when(entry["rank"] == 1, F.col("site")).otherwise(F.col("low")), entry["regex"]), F.lit(False))
+
+
+def _ordered(entry: Column) -> Column:
+    """The smallest of these is the entry that decides."""
+    return F.struct((-entry["rank"]).alias("rank"), (-entry["len"]).alias("len"), entry["rule"].alias("rule"), entry["verdict"].alias("verdict"))
+
+
+def _best_inline(held: DataFrame, entries: list[dict]) -> DataFrame:
+    """``held`` with ``best``: the index is a constant of the plan."""
+    buckets: list[list[dict]] = [[] for _ in range(1 << max(2, len(entries).bit_length()))]
+    for entry in entries:
+        if entry["token"]:
+            buckets[_bucket(entry["token"], len(buckets))].append(entry)
+    always = [entry for entry in entries if not entry["token"]]
     index = F.from_json(F.lit(json.dumps(buckets)), f"array<array<struct<{_typed(_ENTRY)}>>>")
     rest = F.from_json(F.lit(json.dumps(always)), f"array<struct<{_typed(_ENTRY)}>>")
-    held = pages.select(*keep, F.col(url).alias("__url"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    held = held.withColumn("__site", F.concat("host", "path")).withColumn("__low", ascii_lower(F.col("__url")))
     fetched = F.flatten(
         F.transform(
-            F.coalesce(url_tokens(F.col("__url")), F.array().cast("array<string>")),
+            F.coalesce(url_tokens(F.col("url")), F.array().cast("array<string>")),
             lambda t: F.filter(F.get(index, _bucket_column(t, len(buckets))), lambda e: e["token"] == t),
         )
     )
-    fits = F.filter(
-        F.concat(fetched, rest),
-        lambda e: F.coalesce(F.regexp_like(F.when(e["rank"] == 1, F.col("__site")).otherwise(F.col("__low")), e["regex"]), F.lit(False)),
-    )
-    order = F.transform(
-        fits, lambda e: F.struct((-e["rank"]).alias("rank"), (-e["len"]).alias("len"), e["rule"].alias("rule"), e["verdict"].alias("verdict"))
-    )
-    held = held.withColumn("__best", F.array_min(order))
-    best = F.col("__best")
-    return held.select(
-        *keep,
-        "host",
-        "path",
-        F.when(best["rank"] == -1, best["rule"]).alias("rule"),
-        F.coalesce(best["verdict"], F.lit(default)).alias("verdict"),
-        F.when(best["rank"] == 0, best["rule"]).alias("pattern"),
-    )
+    return held.withColumn("best", F.array_min(F.transform(F.filter(F.concat(fetched, rest), _fits), _ordered)))
+
+
+def _best_joined(held: DataFrame, entries: list[dict]) -> DataFrame:
+    """``held`` with ``best``: the index is a table. Rows are written once, so their numbers are fixed."""
+    spark = held.sparkSession
+    held = staged(held.withColumn("row", F.monotonically_increasing_id()), "urls")
+    names = [f.split()[0] for f in _ENTRY.split(", ")]
+    rules = staged(spark.createDataFrame([tuple(e[n] for n in names) for e in entries], _ENTRY), "url-rules")
+    # The empty token stands for the rules that every URL has to try.
+    asked = held.select("row", "site", "low", F.explode(F.concat(url_tokens(F.coalesce("url", F.lit(""))), F.array(F.lit("")))).alias("token"))
+    entry = F.struct(*names[1:])
+    found = salted_join(asked, rules, "token", "row").withColumn("entry", entry).where(_fits(F.col("entry")))
+    best = found.groupBy("row").agg(F.min(_ordered(F.col("entry"))).alias("best"))
+    return held.join(best, "row", "left")
 
 
 def _typed(fields: str) -> str:

@@ -326,7 +326,9 @@ def judged(spark, urls, rules):
     return [(r.host, r.path, r.rule, r.verdict) for r in url_rules.judge_urls(rows, rules).orderBy("page_id").collect()]
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("most_inline", [50_000, 0])
+def test_url_rules(spark, monkeypatch, most_inline):
+    monkeypatch.setattr(url_rules, "MAX_INLINE_RULES", most_inline)
     R = url_rules.UrlRule
     rules = [R("block", "net/"), R("allow", "example.net/en/"), R("block", "example.com"), R("block", "||ads.*.org^", True), R("block", "|ftp://", True), R("block", "*.exe|", True)]
     urls = [None, "", "x", "http://NET/", "http://a.net", "https://w.Example.NET/en/?q", "http://example.com", "http://notexample.com/", "x?a://b.net/", "http://ads.q.org/z", "http://bads.q.org/", "ftp://h/p", "http://h/a.EXE", "http://h/a.exe?x", "http://a\nb.net/"]
@@ -342,3 +344,16 @@ def test_rarest_token_is_counted_over_the_table(spark):
     assert url_rules.token_counts(rows, ["a", "b", "z"]) == {"a": 2, "b": 1}
     assert url_rules.judge_urls(rows.limit(0), [url_rules.UrlRule("block", "b/")]).count() == 0
     assert url_rules.judge_urls(rows, []).where("verdict = 'allow'").count() == 3
+
+
+def test_url_rules_with_clashing_names_and_hot_hosts(spark, monkeypatch):
+    rules = [url_rules.UrlRule("block", "spam.example/"), url_rules.UrlRule("block", "||ads1.", pattern=True)] + [url_rules.UrlRule("block", f"||x{i}y.", pattern=True) for i in range(300)]
+    rows = [(i % 50, f"http://{'spam.example' if i % 3 else f'x{i}y.org'}/{i}", "old", 1, "u") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict string, site int, low string")
+    got = []
+    for most in (50_000, 0):
+        monkeypatch.setattr(url_rules, "MAX_INLINE_RULES", most)
+        judged_rows = url_rules.judge_urls(pages, rules, keep=tuple(pages.columns))
+        assert judged_rows.columns == ["page_id", "url", "site", "low", "host", "path", "rule", "verdict", "pattern"]
+        got.append(sorted(map(str, judged_rows.collect())))
+    assert got[0] == got[1] and len(got[0]) == 400 and sum("verdict='block'" in r for r in got[0]) == 366
