@@ -70,3 +70,41 @@ def test_rows_with_null_ids_and_repeated_rows(spark):
 def test_shingle_set():
     assert len(jaccard.shingle_set("a b c d e f")) == 2 and len(jaccard.shingle_set("a b")) == 1
     assert np.array_equal(jaccard.shingle_set("A  b\nc"), jaccard.shingle_set("a b c"))
+
+
+def test_similar_pairs_against_brute_force(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    base = [set(rng.integers(0, 60, 20).tolist()) for _ in range(6)]
+    sets = [b - set(rng.choice(sorted(b), rng.integers(0, 4), replace=False).tolist()) for b in base for _ in range(8)] + [{1000}, {1000}, {1001}]
+    values, sizes = np.concatenate([sorted(s) for s in sets]).astype(np.int64), np.array([len(s) for s in sets])
+    a, b = jaccard.similar_pairs(values, sizes, 0.8)
+    assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(a, b))
+
+    def classes(pairs):
+        root = list(range(len(sets)))
+        for i, j in pairs:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+        return root
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert classes(zip(a, b)) == classes(every) and len(a) < len(every)
+
+
+def test_large_bands_give_the_same_classes(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [f"word{i}" for i in range(60)]
+    texts = []
+    for i in range(150):  # one text with a few words changed: some pairs reach 0.8, most do not
+        words = base[:]
+        for at in rng.choice(60, rng.integers(0, 5), replace=False):
+            words[at] = f"other{rng.integers(0, 3)}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = []
+    for small, block in ((10_000, 1000), (4, 20)):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
+        kept.append(sorted(r.doc_id for r in jaccard.one_of_each(rows).collect()))
+    assert kept[0] == kept[1] and 1 < len(kept[0]) < 150
