@@ -107,14 +107,22 @@ def controller(tokens: DataFrame, entities: DataFrame, rules: list[str] = CONTRO
 def third_parties(tokens: DataFrame, entities: DataFrame, rules: list[str] = THIRD_PARTIES, key: str = "doc_id", found: DataFrame | None = None) -> DataFrame:
     """(key, ord, text, start): parties of the hits' sections, each text once.
 
-    Hits come rule by rule; a text has the place of its last mention and the span of its first.
+    Hits come rule by rule; a text has the place of its last mention and the span of its first. A document whose hits
+    lead to no party has the text of each hit's section instead, in order of the hits.
     """
     hits = _with_section(_found(tokens, rules, key, found), tokens, key)
     rows = ents.in_sections(entities, hits, PARTY_TYPES, NO_PARTY, key)
     place = F.struct("pattern_id", "hit", "start", "ent_type", "ne_id")
     rows = rows.groupBy(key, "text").agg(F.max(place).alias("last"), F.min_by("start", place).alias("start"))
     order = Window.partitionBy(key).orderBy("last")
-    return rows.select(key, (F.row_number().over(order) - 1).alias("ord"), "text", "start")
+    parties = rows.select(key, (F.row_number().over(order) - 1).alias("ord"), "text", "start")
+    lone = hits.join(rows.select(key).distinct(), key, "left_anti")
+    words = tokens.withColumnRenamed("sec_start", "from_pos").join(lone.select(key, "from_pos").distinct(), [key, "from_pos"])
+    texts = words.groupBy(key, "from_pos").agg(F.sort_array(F.collect_list(F.struct("pos", "form"))).alias("rows"))
+    texts = texts.select(key, "from_pos", F.array_join(F.col("rows.form"), " ").alias("text"))
+    order = Window.partitionBy(key).orderBy("pattern_id", "hit")
+    sections = lone.join(texts, [key, "from_pos"]).select(key, (F.row_number().over(order) - 1).alias("ord"), "text", F.col("from_pos").alias("start"))
+    return parties.unionByName(sections)
 
 
 def rule_sentences(tokens: DataFrame, rules: list[str], key: str = "doc_id", found: DataFrame | None = None) -> DataFrame:

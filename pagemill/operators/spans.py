@@ -32,7 +32,15 @@ def best_window(tokens: Column, wanted: Column) -> Column:
 
         count = F.size(own) - m
         none = F.struct(F.lit(0.0).alias("jaccard"), F.lit(0).alias("minus"))
-        best = F.when((count > 0) & (m > 0), F.array_max(F.transform(F.sequence(F.lit(0), count - 1), score))).otherwise(none)
+
+        def of_hits(hits: Column) -> Column:
+            # Only windows that hold a wanted token can score: those that start up to m - 1 before one.
+            near = F.flatten(F.transform(hits, lambda p: F.sequence(F.greatest(p - m + 1, F.lit(0)), p)))
+            starts = F.filter(F.array_distinct(near), lambda i: i < count)
+            return F.coalesce(F.array_max(F.transform(starts, score)), none)
+
+        positions = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda p: F.array_contains(target, F.get(own, p)))
+        best = F.when((count > 0) & (m > 0), let(positions, of_hits)).otherwise(none)
         return let(best, lambda b: F.struct(F.when(b["jaccard"] > 0, -b["minus"]).otherwise(0).alias("at"), b["jaccard"].alias("jaccard")))
 
     return let(F.struct(tokens.alias("tokens"), wanted.alias("wanted")), search)

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pagemill.runtime import ship
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-_TOKENS = re.compile(r"\w+|[^ \t\n\r\f\v\w]").findall
+#: Words and single other characters of a text.
+token_forms = re.compile(r"\w+|[^ \t\n\r\f\v\w]").findall
 
 #: What an annotator says of one text: forms, lemmas, and entity marks such as ``if_3-A_4`` (None for no mark).
 Annotation = tuple[list[str], list[str], list[str | None]]
@@ -33,7 +34,7 @@ def local_annotator() -> Annotator:
     """Words and single other characters; the lemma is the lower-cased form; no entities."""
 
     def annotate_texts(texts: list[str]) -> list[Annotation]:
-        found = map(_TOKENS, texts)
+        found = map(token_forms, texts)
         return [(forms, [form.lower() for form in forms], [None] * len(forms)) for forms in found]
 
     return annotate_texts

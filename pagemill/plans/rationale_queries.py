@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
 from pagemill.operators import rationales as rat
-from pagemill.operators import spans
+from pagemill.operators import scorer, spans
 from pagemill.plans.registry import query, table
 from pagemill.plans.token_queries import SP, TOKENS, _annotated, _extracted, _tokens
 from pagemill.runtime import ship
@@ -49,6 +49,26 @@ def ig_linear(spark, sf_dir):
     return rat.linear_attributions(_tokens(spark, sf_dir)).select("doc_id", "block", "pos", F.round("attr", 9).alias("attr"))
 
 
+_PLAIN = f"""{TOKENS}, lg AS (SELECT doc_id, CAST(pos // 510 AS INTEGER) AS block, count(*) AS n, sum({_WEIGHT}) AS z FROM tok GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_PLAIN} SELECT doc_id, block, n, round(1 / (1 + exp(-z)), 9) AS probability, CAST(z > 0 AS INTEGER) AS prediction FROM lg")
+def scorer_blocks(spark, sf_dir):
+    """Blocks through the scorer interface."""
+    rows = scorer.score_blocks(table(spark, sf_dir, "documents"))
+    return rows.withColumn("probability", F.round("probability", 9))
+
+
+@query(
+    f"""WITH {_PLAIN}, sl AS (SELECT doc_id, block, ({_SLOPES}) / 25 AS m FROM lg)
+        SELECT t.doc_id, s.block, pos, round({_WEIGHT} * m, 9) AS attr FROM tok t JOIN sl s ON t.doc_id = s.doc_id AND t.pos // 510 = s.block"""
+)
+def scorer_gradients(spark, sf_dir):
+    """Integrated gradients through the scorer interface: embedding lookup, gradient of the softmax, path mean."""
+    rows = scorer.block_attributions(table(spark, sf_dir, "documents"))
+    return rows.withColumn("attr", F.round("attr", 9))
+
+
 @query(
     """SELECT vec_id, list_transform(embedding[2:len(embedding) - 1], lambda x: (x::DOUBLE + 0.5) / 2) AS attr
        FROM embeddings"""

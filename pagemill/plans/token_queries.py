@@ -252,8 +252,13 @@ def controller_pick(spark, sf_dir):
               FROM f JOIN sec s ON f.doc_id = s.doc_id AND f."start" >= sec_start AND f."start" < sec_end
               JOIN ent e ON f.doc_id = e.doc_id AND e."start" >= sec_start AND e."start" < sec_end
               WHERE ent_type IN ('if', 'io') AND lower(trim(text)) NOT IN ({_NO_PARTY})),
-        g AS (SELECT doc_id, text, max(place) AS final, min_by(s, place) AS "start" FROM m GROUP BY 1, 2)
-        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY final) - 1 AS INTEGER) AS ord, text, "start" FROM g"""
+        g AS (SELECT doc_id, text, max(place) AS final, min_by(s, place) AS "start" FROM m GROUP BY 1, 2),
+        lone AS (SELECT f.doc_id, pattern_id, f."start" AS hit, sec_start, sec_end
+                 FROM f JOIN sec s ON f.doc_id = s.doc_id AND f."start" >= sec_start AND f."start" < sec_end WHERE f.doc_id NOT IN (SELECT doc_id FROM g)),
+        stext AS (SELECT t.doc_id, sec_start, string_agg(form, ' ' ORDER BY pos) AS text
+                  FROM tok t JOIN (SELECT DISTINCT doc_id, sec_start, sec_end FROM lone) l ON t.doc_id = l.doc_id AND pos >= sec_start AND pos < sec_end GROUP BY 1, 2)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY final) - 1 AS INTEGER) AS ord, text, "start" FROM g
+        UNION ALL SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pattern_id, hit) - 1 AS INTEGER), text, sec_start FROM lone JOIN stext USING (doc_id, sec_start)"""
 )
 def third_parties(spark, sf_dir):
     rows = _tokens(spark, sf_dir)

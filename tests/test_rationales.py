@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 from pagemill.operators import rationales as rat
-from pagemill.operators import spans
+from pagemill.operators import scorer, spans
 from pyspark.sql import functions as F
 
 
@@ -67,3 +67,38 @@ def test_edge_offsets_shorten(spark):
 def test_mark_up():
     assert spans.mark_up("<p>a &amp; b<!-- b --></p>", [{"value": "x-start-0", "text": "& b"}]) == '<p>a <span data-element-id="x-start-0">&amp; b</span><!-- b --></p>'
     assert spans.mark_up(None, None) == ""
+
+
+class TwoLayers:
+    """A scorer of three classes whose logits are not linear."""
+
+    mix = np.array([[0.3, -0.2], [0.1, 0.5], [-0.4, 0.2]])
+
+    def embed(self, tokens):
+        return np.array([[len(t), t.count("a")] for t in tokens], float)
+
+    def logits(self, embeddings):
+        return np.tanh(embeddings).sum(axis=1) @ self.mix.T
+
+    def logit_gradient(self, embeddings):
+        return (1 - np.tanh(embeddings) ** 2)[:, None] * self.mix[None, :, None, :]
+
+
+def test_probability_gradient_and_completeness():
+    own, x = TwoLayers(), TwoLayers().embed(["a", "bab", "c", "aa"]) / 3
+    got = scorer.probability_gradient(own, x[None], 2)[0]
+    for i in np.ndindex(x.shape):
+        step = np.zeros_like(x)
+        step[i] = 1e-6
+        up, down = (scorer.softmax(own.logits(y[None]))[0, 2] for y in (x + step, x - step))
+        assert abs((up - down) / 2e-6 - got[i]) < 1e-8
+    total = 2 * scorer.attributions(own, x, 2, 400).sum()  # two dimensions are averaged
+    change = scorer.softmax(own.logits(x[None]))[0, 2] - scorer.softmax(own.logits(0 * x[None]))[0, 2]
+    assert abs(total - change) < 1e-5
+
+
+def test_scored_blocks(spark):
+    rows = spark.createDataFrame([(1, "a " * 600), (2, None), (None, "A b."), (3, " ")], "doc_id int, text string")
+    got = sorted((r.doc_id or 0, r.block, r.n, r.prediction) for r in scorer.score_blocks(rows, factory=TwoLayers).collect())
+    assert [g[:3] for g in got] == [(0, 0, 3), (1, 0, 510), (1, 1, 90)]
+    assert sorted((r.doc_id or 0, r.pos) for r in scorer.block_attributions(rows, factory=TwoLayers).where("doc_id IS NULL").collect()) == [(0, 0), (0, 1), (0, 2)]

@@ -152,6 +152,13 @@ def test_third_parties_keep_place_of_last_and_span_of_first(spark):
     assert [(r.text, r.start) for r in extract.third_parties(rows, found).orderBy("ord").collect()] == [("Beta", 4), ("Alfa", 3)]
 
 
+def test_sections_stand_in_for_missing_parties(spark):
+    rows, found = policy(spark, "předávat osobní údaj a příjemce osobní údaj konec dnes", [("if", "konec")])
+    got = extract.third_parties(rows, found.where("false")).orderBy("ord").collect()
+    assert [(r.ord, r.text, r.start) for r in got] == [(i, "předávat osobní údaj a příjemce osobní údaj konec", 0) for i in (0, 1)]
+    assert extract.third_parties(rows.where("pos > 4"), found.where("false")).count() == 0
+
+
 def test_categories(spark):
     rows, _ = policy(spark, "zpracovávat jméno a datum narození . jiný adresa konec")
     got = extract.categories(rows).select("category").distinct().collect()
