@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import host_of
 from pagemill.functions.text import tokens as token_list
 from pagemill.operators import entities, extract, patterns, tokens
-from pagemill.plans.registry import query, table
+from pagemill.plans.registry import ORACLE_SQL, query, table
 from pagemill.runtime import staged
 from pagemill.sources import files
 from pagemill.sources import html as src
@@ -312,24 +312,44 @@ def _extracted(rows):
     )
 
 
-@query()
+def _extract_sql() -> str:
+    """The packs' own SQL as one relation; each part brings its own token table."""
+    sentences = lambda rules: f"WITH {TOKENS}, {_pack_sql('f', rules)}, {_sentences_sql('w', 'f')} SELECT doc_id, text FROM w"
+    druh = f"""WITH {TOKENS}, full_text AS (SELECT doc_id, sent_id, string_agg(form, ' ' ORDER BY pos) AS text FROM tok GROUP BY 1, 2)
+        SELECT c.doc_id, text FROM ({ORACLE_SQL["category_presence"]}) c JOIN full_text USING (doc_id, sent_id)"""
+    parts = {
+        "company": f"SELECT doc_id, company AS text FROM ({ORACLE_SQL['controller_pick']})",
+        "address": f"SELECT doc_id, address AS text FROM ({ORACLE_SQL['controller_pick']}) WHERE address IS NOT NULL",
+        "third_companies": f"SELECT doc_id, text FROM ({ORACLE_SQL['third_parties']})",
+        "duration": f"SELECT doc_id, text FROM ({ORACLE_SQL['duration_max']})",
+        "access": sentences(SENTENCES[:1]),
+        "delete": sentences(SENTENCES[1:2]),
+        "lhuta": sentences(SENTENCES[2:]),
+        "druh": druh,
+    }
+    return " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS type, text, '{extract.LABELS[kind]}' AS label FROM ({sql})" for kind, sql in parts.items())
+
+
+@query(_extract_sql())
 def extract_all(spark, sf_dir):
     """All packs over one token table, with display labels."""
     return extract.labelled(_extracted(_tokens(spark, sf_dir)))
 
 
-@query(
-    f"""WITH {TOKENS}, {_pack_sql('x', SENTENCES[:1])}, {_pack_sql('y', SENTENCES[1:2])}, {_pack_sql('z', SENTENCES[2:])},
-        {_sentences_sql('xs', 'x')}, {_sentences_sql('ys', 'y')}, {_sentences_sql('zs', 'z')},
-        all_types AS (SELECT doc_id, 'access' AS type FROM xs UNION ALL SELECT doc_id, 'delete' FROM ys UNION ALL SELECT doc_id, 'lhuta' FROM zs)
-        SELECT type, count(DISTINCT doc_id) AS n_pages, count(DISTINCT doc_id) / (SELECT count(*) FROM documents) AS share FROM all_types GROUP BY type"""
-)
+_SHARE = "count(DISTINCT doc_id) AS n_pages, count(DISTINCT doc_id) / (SELECT count(*) FROM documents) AS share"
+
+
+@query(f"SELECT type, {_SHARE} FROM ({_extract_sql()}) WHERE text <> '' GROUP BY type")
 def coverage_report(spark, sf_dir):
-    rows, found = _tokens(spark, sf_dir), None
-    for kind, rules in (("access", SENTENCES[:1]), ("delete", SENTENCES[1:2]), ("lhuta", SENTENCES[2:])):
-        part = extract.rule_sentences(rows, rules).select("doc_id", F.lit(kind).alias("type"), "text")
-        found = part if found is None else found.unionByName(part)
-    return extract.coverage(found, table(spark, sf_dir, "documents"))
+    """Share of the documents in which each of the eight kinds was found."""
+    return extract.coverage(_extracted(_tokens(spark, sf_dir)), table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT category AS type, {_SHARE} FROM ({ORACLE_SQL['category_presence']}) GROUP BY category")
+def category_coverage(spark, sf_dir):
+    """The same for each category of data."""
+    found = extract.categories(_tokens(spark, sf_dir), STARTS, CATEGORIES)
+    return extract.coverage(found.withColumn("type", F.col("category")), table(spark, sf_dir, "documents"))
 
 
 @query()
