@@ -59,6 +59,29 @@ def test_near_copies_go(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes.values()))
 
 
+def test_candidates_come_from_the_fingerprint_index(spark, monkeypatch):
+    asked, index = [], simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda prints, distance: asked.append(prints.count()) or index(prints, distance))
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text), (2, text + " end"), (3, text.upper()), (4, "something else"), (5, None)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+    assert asked == [len({simhash.fingerprint(t) for _, t in rows})]
+
+
+def test_fingerprint_pairs(spark):
+    signed = [0, 1, 0b11111, 1 << 40, -1]
+    rows = [(fp, 10 * i + j) for i, fp in enumerate(signed) for j in range(2)]
+    got = {tuple(r) for r in jaccard._simhash_pairs(spark.createDataFrame(rows, "fp long, node long"), 4).collect()}
+    assert {(10 * i, 10 * i + 1) for i in range(5)} <= got
+    up = {10 * i: 10 * i for i in range(5)}
+    for a, b in got:
+        if a % 10 == b % 10 == 0:
+            low, high = sorted((up[a], up[b]))
+            up = {n: low if r == high else r for n, r in up.items()}
+    assert up == {0: 0, 10: 0, 20: 0, 30: 0, 40: 40}
+
+
 def test_rows_with_null_ids_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = spark.createDataFrame([(None, text), (7, text), (7, text), (3, text + " end"), (9, "other"), (9, "other"), (None, None)], "doc_id long, text string")
