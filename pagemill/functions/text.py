@@ -68,15 +68,28 @@ def char_shingles(text: Column, k: int = 5) -> Column:
     return let(F.split(text, ""), runs)
 
 
-def replaced_words(text: Column, key: Column, share: float) -> Column:
-    """A version of the text with about ``share`` of its words replaced, chosen by a digest of key and position."""
+def replaced_versions(text: Column, key: Column, shares: list[float]) -> Column:
+    """One version of the text for each share, with about that share of its words replaced.
+
+    Which words are replaced, and by what, follows from a digest of key and position; a digest is taken once for all
+    shares, and its first digits are compared as text.
+    """
 
-    def word(value: Column, at: Column) -> Column:
+    def part(value: Column, at: Column) -> Column:
         digest = F.md5(F.concat_ws(":", key.cast("string"), at.cast("string")).cast("binary"))
-        chosen = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") < int(share * 65536)
-        return F.when(chosen, F.concat(F.lit("zz"), F.substring(digest, 5, 6))).otherwise(value)
+        return F.struct(value.alias("word"), digest.alias("digest"))
+
+    def version(parts: Column, share: float) -> Column:
+        below = int(share * 65536)
+        chosen = lambda p: F.lit(True) if below > 65535 else F.substring(p["digest"], 1, 4) < F.lit(f"{below:04x}")
+        return F.array_join(F.transform(parts, lambda p: F.when(chosen(p), F.concat(F.lit("zz"), F.substring(p["digest"], 5, 6))).otherwise(p["word"])), " ")
 
-    return F.array_join(F.transform(F.split(text, " "), word), " ")
+    return let(F.transform(F.split(text, " "), part), lambda parts: F.array(*[version(parts, share) for share in shares]))
+
+
+def replaced_words(text: Column, key: Column, share: float) -> Column:
+    """The version of the text for one share."""
+    return F.get(replaced_versions(text, key, [share]), 0)
 
 
 def blocks(ids: Column, first: int, last: int, size: int = 510) -> Column:
