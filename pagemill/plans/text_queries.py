@@ -132,6 +132,11 @@ def minhash_signature(spark, sf_dir):
     return rows.select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
+def repeated(docs) -> bool:
+    """Whether several rows have one doc_id; if not, what is said of a document needs its own row only."""
+    return not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def _versions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs, docs.withColumn("text", tx.replaced_words(F.col("text"), F.col("doc_id"), SHARE))
@@ -170,16 +175,18 @@ def same_document(spark, sf_dir):
         SELECT doc_id, sum(l * r)::BIGINT AS shared, count(*) AS total, sum(l * r) / count(*) AS jaccard FROM u GROUP BY doc_id"""
 )
 def jaccard_exact(spark, sf_dir):
-    before, after = map(sim.shingle_rows, _versions(spark, sf_dir))
-    return sim.exact_jaccard(before, after)
+    before, after = _versions(spark, sf_dir)
+    if repeated(before):
+        return sim.exact_jaccard(sim.shingle_rows(before), sim.shingle_rows(after))
+    changed = tx.replaced_words(F.col("text"), F.col("doc_id"), SHARE)
+    return sim.version_jaccard(before.select("doc_id", tx.normalise(F.col("text")).alias("before"), tx.normalise(changed).alias("after")))
 
 
 @query()
 def change_grid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    versions = None
-    for share in (0.001, 0.01, 0.025, 0.05, 0.1, 0.2, 0.5):
-        after = tx.normalise(tx.replaced_words(F.col("text"), F.col("doc_id"), share))
-        part = docs.select(F.lit(share).alias("share"), tx.normalise(F.col("text")).alias("before"), after.alias("after")).where("before <> after")
-        versions = part if versions is None else versions.unionByName(part)
+    shares = (0.001, 0.01, 0.025, 0.05, 0.1, 0.2, 0.5)
+    after = tx.replaced_versions(F.col("text"), F.col("doc_id"), shares)
+    after = F.zip_with(F.array(*map(F.lit, shares)), after, lambda share, text: F.struct(share.alias("share"), tx.normalise(text).alias("after")))
+    versions = docs.select(tx.normalise(F.col("text")).alias("before"), F.explode(after).alias("v")).select("v.share", "before", "v.after").where("before <> after")
     return sim.change_grid(versions, [0.8, 0.9, 0.95, 0.99])
