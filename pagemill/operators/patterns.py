@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 Pattern = list[str]
 
 
-def _steps(pattern: Pattern) -> list[tuple[int, str, bool]]:
+def steps_of(pattern: Pattern) -> list[tuple[int, str, bool]]:
     """(gap, lemma, after a gap) of each lemma."""
     steps, gap, wild = [], 0, False
     for part in pattern:
@@ -38,7 +38,7 @@ def pack_matches(tokens: DataFrame, patterns: list[Pattern], mode: str = "strict
     """
     if mode not in ("strict", "sentence"):
         raise ValueError(mode)
-    steps = [_steps(p) for p in patterns]
+    steps = [steps_of(p) for p in patterns]
     lemmas = sorted({lemma for own in steps for _, lemma, _ in own})
     if "last" not in tokens.columns:  # a token table of another origin
         whole = Window.partitionBy(key)

@@ -9,7 +9,7 @@ Arrow pass without a shuffle; what needs its neighbours is settled there.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +65,7 @@ def annotate(docs: DataFrame, key: str = "doc_id", elements: str = "elements", f
     schema = f"{key} {dict(docs.dtypes)[key]}, pos int, elem_id int, tag string, sent_id int, form string, lemma string, ne string, sec_start int, sec_end int, last int, stop int"
 
     def run(batches):
-        if factory not in _made:
-            _made[factory] = factory()
-        annotator = _made[factory]
+        annotator = annotator_of(factory)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 yield _annotated(batch.slice(at, 64), annotator, heading_words, key)
@@ -75,24 +73,36 @@ def annotate(docs: DataFrame, key: str = "doc_id", elements: str = "elements", f
     return docs.select(key, elements).mapInArrow(run, schema)
 
 
-def _annotated(batch: pa.RecordBatch, annotator: Annotator, heading_words: int, key: str) -> pa.RecordBatch:
+def annotator_of(factory: Callable[[], Annotator]) -> Annotator:
+    """The annotator of this worker."""
+    if factory not in _made:
+        _made[factory] = factory()
+    return _made[factory]
+
+
+def read_documents(batch: pa.RecordBatch, annotator: Annotator, heading_words: int) -> Iterator[tuple[list, ...]]:
+    """(forms, lemmas, marks, sizes, ids, tags) of each row: tokens of the document, then one value an element that has any."""
     documents = [[e for e in (own or []) if e["text"]] for own in batch.column(1).to_pylist()]
     texts = list(dict.fromkeys(e["text"] for own in documents for e in own))
     known = dict(zip(texts, annotator(texts), strict=True))
-    rows, whole = [], {c: [] for c in ("tag", "form", "lemma", "ne")}
-    numbers = {c: [np.empty(0, np.int32)] for c in ("pos", "elem_id", "sent_id", "sec_start", "sec_end", "last", "stop")}
-    for i, own in enumerate(documents):
-        forms, sizes, ids, tags = [], [], [], []
+    for own in documents:
+        forms, lemmas, marks, sizes, ids, tags = [], [], [], [], [], []
         for element in own:
-            words, lemmas, marks = known[element["text"]]
+            words, its_lemmas, its_marks = known[element["text"]]
             if words:
                 forms += words
-                whole["lemma"] += lemmas
-                whole["ne"] += marks
+                lemmas += its_lemmas
+                marks += its_marks
                 sizes.append(len(words))
                 ids.append(element["elem_id"])
                 tags.append(element["tag"] or ("h1" if len(words) < heading_words else "p"))
-                whole["tag"] += [tags[-1]] * len(words)
+        yield forms, lemmas, marks, sizes, ids, tags
+
+
+def _annotated(batch: pa.RecordBatch, annotator: Annotator, heading_words: int, key: str) -> pa.RecordBatch:
+    rows, whole = [], {c: [] for c in ("tag", "form", "lemma", "ne")}
+    numbers = {c: [np.empty(0, np.int32)] for c in ("pos", "elem_id", "sent_id", "sec_start", "sec_end", "last", "stop")}
+    for i, (forms, lemmas, marks, sizes, ids, tags) in enumerate(read_documents(batch, annotator, heading_words)):
         n = len(forms)
         if not n:
             continue
@@ -103,6 +113,10 @@ def _annotated(batch: pa.RecordBatch, annotator: Annotator, heading_words: int,
         start, end = section_bounds(n, [at for at, tag in zip(firsts.tolist(), tags) if tag in HEADINGS])
         rows.append(np.full(n, i))
         whole["form"] += forms
+        whole["lemma"] += lemmas
+        whole["ne"] += marks
+        for tag, size in zip(tags, sizes):
+            whole["tag"] += [tag] * size
         for name, values in (("pos", np.arange(n)), ("elem_id", np.repeat(ids, sizes)), ("sent_id", np.cumsum(new)), ("sec_start", start), ("sec_end", end), ("last", np.full(n, n - 1)), ("stop", stops)):
             numbers[name].append(values.astype(np.int32))
     columns = {c: pa.array(v, pa.string()) for c, v in whole.items()}

@@ -1,6 +1,6 @@
 import random
 
-from pagemill.operators import entities, extract, patterns, tokens
+from pagemill.operators import entities, extract, held, patterns, tokens
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id int, pos int, elem_id int, tag string, sent_id int, form string, lemma string"
@@ -173,3 +173,40 @@ def test_ngram_misses_last(spark):
 def test_annotate_distinct(spark):
     seen = tokens.annotate_distinct(spark.createDataFrame([(1, "x"), (2, "x")], "i int, text string"), lambda t: t.withColumn("n", F.length("text")))
     assert sorted(tuple(r) for r in seen.select("i", "n").collect()) == [(1, 1), (2, 1)]
+
+
+def test_packs_in_a_row_agree_with_token_tables(spark):
+    rng = random.Random(8)
+    words = ["a", "b", "c", "Firma", "12", ".", "g", "Č"]
+    texts = [[(e, rng.choice(["p", "h1", None, None]), " ".join(rng.choices(words, k=rng.randint(0, 14)))) for e in range(rng.randint(0, 7))] for _ in range(200)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, [(0, "p", "a b a b c")]), (300, None)], ELEMENTS)
+    packs = dict(
+        controller_rules=["a *1 b", "b *2 c"], party_rules=["b *2 a", "c *1 c"], duration_rules=["a *3 c", "b a"], access_rules=["a b"], delete_rules=["c *1 a *1 b"],
+        deadline_rules=["g a", "a *2 a"], starts=["a", "b"], named={"x": "c", "y": "a g"}, unit=("b", "*2", "c"), word="a",
+    )
+    marks = lambda forms, first: [{"Firma": f"if_{p // 2}-A_{p // 3}", "g": f"io_{p}", "Č": f"A_{p // 3}"}.get(form) for p, form in enumerate(forms, first)]
+    rows = tokens.annotate(docs)
+    half, third = [(F.col("pos") / n).cast("int").cast("string") for n in (2, 3)]
+    ne = F.when(F.col("form") == "Firma", F.concat(F.lit("if_"), half, F.lit("-A_"), third)).when(F.col("form") == "g", F.concat(F.lit("io_"), F.col("pos").cast("string")))
+    rows = rows.withColumn("ne", ne.when(F.col("form") == "Č", F.concat(F.lit("A_"), third))).persist()
+    expected = extract.extractions(rows, entities.groups(rows), **packs).collect()
+    found = held.extractions(docs, marker=marks, **packs).collect()
+    assert sorted(found) == sorted(expected) and len({r.type for r in found}) == 8
+    rows.unpersist()
+
+
+def test_extractions_move_no_rows(spark, tmp_path):
+    import __spark_entry__
+
+    spark.createDataFrame([(1, "Firma of the world in the end of"), (2, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = __spark_entry__.queries()["extract_all"](spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_ids_are_extracted_too(spark, tmp_path):
+    import __spark_entry__
+
+    text = "one of the many of them in the town of Rome . all that"
+    spark.createDataFrame([(1, text), (2, text), (2, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = __spark_entry__.queries()["extract_all"](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in found} == {1, 2} and {r.type for r in found if r.doc_id == 1} <= {r.type for r in found if r.doc_id == 2}
